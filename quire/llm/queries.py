@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import licenses, warc
+
 #: The folder of the public tokenizers is a parameter; None asks their package.
 TOKENIZERS: str | None = None
 
@@ -28,15 +30,33 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_features(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import token_shards
 
     return token_shards(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefixcount import prefix_table, with_limit
+
+    counted = prefix_table(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+    return with_limit(counted, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_mpeg_audio": op1_mpeg_audio,
-    "op4_token_files": op4_token_files,
+    f.__name__: f for f in (op1_mpeg_audio, op3_license_scan, op4_token_files, op8_token_counts, op10_warc_archive)
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op10_warc_archive": warc.ORACLE}
