@@ -54,6 +54,12 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), shards=40, law="rows")
 
 
+def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judge
+
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefixcount import prefix_table, with_limit
 
@@ -68,7 +74,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op2_best_fit_packing, op3_license_scan, op4_token_files, op5_hilbert_shards, op8_token_counts, op10_warc_archive)
+    f.__name__: f for f in (op1_mpeg_audio, op2_best_fit_packing, op3_license_scan, op4_token_files, op5_hilbert_shards, op6_quality_votes, op8_token_counts, op10_warc_archive)
 }
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op10_warc_archive": warc.ORACLE}
