@@ -60,6 +60,12 @@ def op6_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix
+
+    return Mix(table(spark, sf_dir, "documents"), seed=7, block=128).by_document()
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefixcount import prefix_table, with_limit
 
@@ -74,7 +80,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op2_best_fit_packing, op3_license_scan, op4_token_files, op5_hilbert_shards, op6_quality_votes, op8_token_counts, op10_warc_archive)
+    f.__name__: f for f in (op1_mpeg_audio, op2_best_fit_packing, op3_license_scan, op4_token_files, op5_hilbert_shards, op6_quality_votes, op7_source_mix, op8_token_counts, op10_warc_archive)
 }
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op10_warc_archive": warc.ORACLE}
