@@ -73,6 +73,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_limit(counted, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=0.8, tolerance=1e-6)
+
+
 def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import archived
 
@@ -80,7 +86,7 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op2_best_fit_packing, op3_license_scan, op4_token_files, op5_hilbert_shards, op6_quality_votes, op7_source_mix, op8_token_counts, op10_warc_archive)
+    f.__name__: f for f in (op1_mpeg_audio, op2_best_fit_packing, op3_license_scan, op4_token_files, op5_hilbert_shards, op6_quality_votes, op7_source_mix, op8_token_counts, op9_jaccard_join, op10_warc_archive)
 }
 
 ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op10_warc_archive": warc.ORACLE}
