@@ -291,7 +291,7 @@ def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("norm", P.normpath("p"))
 
 
-@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '../Text/' || p WHEN 1 THEN p WHEN 2 THEN '../../' || p ELSE '../../Text/' || p END AS rel FROM (SELECT page_id, {_PATH} AS p FROM pages)""")
+@query(f"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN '../Text/' || p WHEN 1 THEN p WHEN 2 THEN '../../' || p ELSE '../../Text/' || p END AS rel FROM (SELECT page_id, rtrim({_PATH}, '/') AS p FROM pages)""")
 def path_relative(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.element_at(F.array(F.lit("Nav"), F.lit("Text"), F.lit("Text/../Text/a/b"), F.lit("Nav/x/.")), (F.col("page_id") % 4 + 1).cast("int"))
     path = F.regexp_replace("url", r"^https?://[^/]+/([^?]*).*$", "$1")
