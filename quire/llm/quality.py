@@ -92,13 +92,13 @@ def _vote(good: Column, bad: Column) -> Column:
 
 def rules() -> dict[str, Column]:
     """Votes by rule: '1' keep, '0' reject, '-' abstain. Shares over no words or lines are null and abstain."""
-    n, lines = F.nullif(F.col("n_words"), F.lit(0)), F.nullif(F.col("n_lines"), F.lit(0))
-    share = lambda name, of: F.col(name) / of
+    n, lines = F.col("n_words"), F.col("n_lines")
+    share = lambda name, of: F.try_divide(F.col(name), of)
     symbols, dups, repeats = share("n_symbols", n), share("n_dup_lines", lines), share("n_repeat_words", n)
     length, ended, marks = share("word_chars", n), share("n_ended_lines", lines), share("n_marks", n)
-    upper = share("n_upper", F.nullif(F.col("word_chars"), F.lit(0)))
+    upper = share("n_upper", F.col("word_chars"))
     plain = share("n_plain_words", n)
-    variety = F.log(F.col("n_distinct_words") + 1) / F.log(F.col("n_words") + 1)
+    variety = F.try_divide(F.log(F.col("n_distinct_words") + 1), F.log(F.col("n_words") + 1))
     return {
         "length": _vote(F.col("n_words") >= 40, F.col("n_words") < 20),
         "word_length": _vote(length.between(3, 10), (length < 2.5) | (length > 12)),
