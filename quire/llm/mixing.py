@@ -178,7 +178,8 @@ class Mix:
 
     def taken(self) -> DataFrame:
         """The pieces with ``times``, how often the mix takes their block."""
-        times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times"))
+        # Without the hint the planner takes the slots for as few as the shards that they come from, and broadcasts them.
+        times = self.slots.groupBy("s", "block").agg(F.count("*").alias("times")).hint("merge")
         return self.pieces().join(times, ["s", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0)))
 
     def by_document(self) -> DataFrame:
@@ -193,7 +194,7 @@ class Mix:
 
     def layout(self) -> DataFrame:
         """shard, slot, doc_id, lo, hi: the mix itself, as word ranges of documents in each slot's block."""
-        return self.slots.join(self.pieces().where("size > 0"), ["s", "block"]).select("shard", "slot", "doc_id", "lo", "hi")
+        return self.slots.hint("merge").join(self.pieces().where("size > 0"), ["s", "block"]).select("shard", "slot", "doc_id", "lo", "hi")
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
