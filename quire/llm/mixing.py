@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import arrow_map, cut, ship
+from .base import arrow_map, cut, runs, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
 SALTS = 1024
@@ -209,22 +209,26 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     # are dealt by one hash, which serves the window and the join.
     nth = F.dense_rank().over(Window.partitionBy("id_", "key_", "source_", "mark_").orderBy("start"))
     ranges = ranges.repartition("id_").withColumn("nth_", nth)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("key"), F.col(source).alias("source"), *Mix.marks(text))
+    rest = [c for c in docs.columns if c != text]
+    held = F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("row")
+    whole = docs.select(held, F.col(text).alias("text"), F.col(key).alias("key"), F.col(source).alias("source"), *Mix.marks(text))
     whole = whole.where("size > 0").withColumn("id", place("key", "source", "mark")).repartition("id")
     whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key", "source", "mark").orderBy("size")))
     on = (F.col("id") == F.col("id_")) & (F.col("nth") <= F.col("nth_")) & (F.col("nth") >= F.col("nth_")) & F.col("mark").between(F.col("mark_"), F.col("mark_"))
-    both = whole.join(ranges, on).select("row", F.col(f"row.`{text}`").alias("text"), "ranges")
+    both = whole.join(ranges, on).select("row", "text", "ranges")
     word = re.compile(WORD)
-    kind = docs.schema
-    row = ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in kind)
-
-    def rows(cols: dict[str, list]) -> dict:
-        out = []
-        for t, spans in zip(cols["text"], cols["ranges"], strict=True):
-            starts = [m.start() for m in word.finditer(t)] + [len(t)]
-            out.append("".join(t[starts[r["lo"]] : starts[r["hi"]]] for r in spans))
-        return {"row": cols["row"], "mixed": out}
-
-    cutted = arrow_map(both.select("row", "text", "ranges"), rows, f"row struct<{row}>, mixed string", "text")
-    new = {text: F.col("mixed"), "n_chars": F.length("mixed").cast(kind["n_chars"].dataType) if "n_chars" in kind.names else None}
-    return cutted.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    row = both.schema["row"].dataType.simpleString()
+
+    def cutted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch, "text"):
+                out = []
+                for t, spans in zip(part.column("text"), part.column("ranges"), strict=True):
+                    t = t.as_py()
+                    starts = [m.start() for m in word.finditer(t)] + [len(t)]
+                    out.append("".join(t[starts[r["lo"]] : starts[r["hi"]]] for r in spans.as_py()))
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(out, pa.string())], names=["row", "mixed"])
+
+    mixed = both.mapInArrow(cutted, f"row {row}, mixed string")
+    new = {text: F.col("mixed"), "n_chars": F.length("mixed").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return mixed.select(*[(new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
