@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words kept a worker; a full table is emptied, which changes times but not ids.
-TABLE_WORDS = 600_000
+TABLE_WORDS = 300_000
 #: New words encoded at a time.
 LEARN_WORDS = 50_000
 
