@@ -33,7 +33,11 @@ def inherited_src(toc: DataFrame) -> DataFrame:
 
 
 def walk(spark: SparkSession, nodes: DataFrame, id_: str = "id", parent: str = "parent", order: str = "ord", levels: int = 64) -> DataFrame:
-    """Adjacency rows (book, id, parent, ord) as ``path`` and ``depth``, by a recursive query a level at a time."""
+    """Adjacency rows (book, id, parent, ord) as ``path`` and ``depth``, by a recursive query a level at a time.
+
+    The session's limit on rows of a recursion is lifted, as a corpus has any number of nodes; ``levels`` ends cycles.
+    """
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     nodes.select(BOOK, F.col(id_).alias("id"), F.col(parent).alias("parent"), F.col(order).cast("int").alias("ord")).createOrReplaceTempView("quire_nodes")
     tree = spark.sql(f"""
         WITH RECURSIVE tree(book, id, path, depth) MAX RECURSION LEVEL {levels} AS (
