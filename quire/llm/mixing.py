@@ -210,7 +210,7 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     nth = F.dense_rank().over(Window.partitionBy("id_", "key_", "source_", "mark_").orderBy("start"))
     ranges = ranges.repartition("id_").withColumn("nth_", nth)
     rest = [c for c in docs.columns if c != text]
-    held = F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_")).alias("row")
+    held = F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(0).alias("_" + "_".join(rest))).alias("row")
     whole = docs.select(held, F.col(text).alias("text"), F.col(key).alias("key"), F.col(source).alias("source"), *Mix.marks(text))
     whole = whole.where("size > 0").withColumn("id", place("key", "source", "mark")).repartition("id")
     whole = whole.withColumn("nth", F.row_number().over(Window.partitionBy("id", "key", "source", "mark").orderBy("size")))

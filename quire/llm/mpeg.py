@@ -11,7 +11,7 @@ narrow, a row at a time, so neither skew nor repeated rows matter.
 
 Defined results: a null text stores as an empty one; an empty payload still gives a stream of one
 table frame; a stream without any frame has zero frames, a null rate and a null duration; null media
-gives nulls. Columns beside the two that are named pass through ``parse_media`` untouched.
+gives nulls. Other columns pass through ``parse_media`` untouched, but one that has the name of a column that it makes gives way.
 """
 
 from __future__ import annotations
@@ -290,6 +290,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", unit:
 
 def parse_media(df: DataFrame, media: str = "media", payload: bool = False) -> DataFrame:
     """``df`` with the struct ``mpeg`` parsed from the binary column ``media``; with ``payload`` also the bytes stored there."""
+    df = df.drop("mpeg", *["payload"] * payload)
     rest = [c for c in df.columns if c != media]
     kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in df.columns]
     names = [f.split()[0] for f in MEDIA.split(", ")]

@@ -73,3 +73,18 @@ def test_packing_holds_all(stages):
 
 def test_registered_with_run():
     assert entry.queries()["pipeline"] is corpus_pipeline.run
+
+
+def test_stages_on_awkward_rows(spark):
+    """Nulls everywhere, empty and long texts, repeats, clashing columns, and no rows at all."""
+    from test_operators import CLASHES, SCHEMA, awkward
+
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([*awkward(), (None, None, None, None, None)], SCHEMA).withColumns({c: F.lit("clash") for c in (*CLASHES, "_", "source_", "mixed")})
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, "")
+        assert stage(spark, docs.where("false"), "").count() == 0, name
+        if name != "packing":
+            assert out.columns == docs.columns
+        assert out.count() > 0, name
