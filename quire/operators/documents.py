@@ -131,11 +131,7 @@ def clean(content: bytes | None) -> tuple[bytes, list[str]]:
         e = stack.pop()
         if e.name == "svg":
             found.append("svg")
-            for own in e.walk():
-                for a in ("viewbox", "viewBox", "preserveaspectratio", "preserveAspectRatio"):
-                    if own is e and a.islower() and e.attrs.get(a):
-                        del e.attrs[a]
-            continue
+            e.attrs = {k: v for k, v in e.attrs.items() if not v or k.lower() not in ("viewbox", "preserveaspectratio")}
         if e.name == "img" and re.match("https?:", e.attrs.get("src", "").lower()):
             found.append("remote-resources")
         if e.name == "table":
@@ -143,7 +139,7 @@ def clean(content: bytes | None) -> tuple[bytes, list[str]]:
                 e.attrs["border"] = ""
             if e.attrs.get("summary"):
                 e.kids.insert(0, Element("caption", None, e.attrs["summary"]))
-        if e.name != "dl":
+        if e.name not in ("dl", "svg"):
             leave_only(e, BODY_ATTRIBUTES.get(e.name))
         stack.extend(reversed(e.elements()))
     return document(html), list(dict.fromkeys(found))

@@ -178,6 +178,8 @@ def test_plugins():
     assert attrs(D.clean(b'<body><p><a href="x" onclick="y">t</a><font color="red">z</font></p></body>')[0]) == [{"href": "x"}]
     assert b"<font" not in D.clean(b"<body><p><font>z</font></p></body>")[0]
     assert D.clean(b"<body><p><img src='http://x/y.png'/><svg viewBox='0 0 1 1'></svg></p></body>")[1] == ["remote-resources", "svg"]
+    assert b'<svg width="1"></svg>' in D.clean(b"<body><p><svg viewBox='0 0 1 1' width='1'></svg></p></body>")[0]
+    assert b'<table border=""><caption>s</caption>' in D.clean(b"<body><table border='0' summary='s' bgcolor='x'><tr><td>1</td></tr></table></body>")[0]
     assert attrs(D.rewrite_links(b'<body><p><a name="test01" href="../test01">x</a><a name="test02" href="test02#something">y</a></p></body>')) == [{"href": "../test01.xhtml", "id": "test01"}, {"href": "test02.xhtml#something", "id": "test02"}]
     note = D.footnotes(b'<body><p>t<span id="InsertNoteID_1_marker1" class="InsertNoteMarker"><sup><a href="#InsertNoteID_1">1</a></sup></span></p><ol id="InsertNote_NoteList"><li id="InsertNoteID_1">prvi footnote <span id="InsertNoteID_1_LinkBacks"><sup><a href="#InsertNoteID_1_marker1">^</a></sup></span></li></ol></body>')
     asides = [e for e in parse_html(note).walk() if e.name == "aside"]
