@@ -1,6 +1,7 @@
 """Every query with SQL gives DuckDB's rows at the smallest scale."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -19,7 +20,7 @@ def duck(sf_dir):
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    clean = lambda v: None if v is None or v != v else int(v) if isinstance(v, float) and v.is_integer() else v
+    clean = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
     return sorted(repr([clean(v) for v in r]) for r in frame.values.tolist())
 
 
