@@ -111,9 +111,60 @@ RULES = (
     ("CC-BY-NC-SA-4.0", "CcByNcSaShort"),
 )
 
-#: A sentence ends at a mark before white space, or at an empty line.
+#: Beside those of the SQL: the Affero GPL, and identifiers of every licence that has a rule.
+MORE_SENTENCES = {
+    "Agpl3Later": "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "AgplSee": "see the gnu affero general public license for more details",
+    "AgplCopy": "you should have received a copy of the gnu affero general public license along with this program",
+    "Agpl3Short": "this work is licensed under the gnu affero general public license version 3",
+    "Agpl3Licensed": "licensed under the gnu affero general public license version 3",
+    "MplCopyHttps": "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0",
+    "SpdxIsc": "spdx license identifier isc",
+    "SpdxUnlicense": "spdx license identifier unlicense",
+    "SpdxGpl2Later": "spdx license identifier gpl 2 0 or later",
+    "SpdxGpl3Later": "spdx license identifier gpl 3 0 or later",
+    "SpdxLgpl21Later": "spdx license identifier lgpl 2 1 or later",
+    "SpdxLgpl3Later": "spdx license identifier lgpl 3 0 or later",
+    "SpdxAgpl3": "spdx license identifier agpl 3 0 only",
+    "SpdxAgpl3Later": "spdx license identifier agpl 3 0 or later",
+    "SpdxCc0": "spdx license identifier cc0 1 0",
+    "SpdxCcBy": "spdx license identifier cc by 4 0",
+    "SpdxCcBySa": "spdx license identifier cc by sa 4 0",
+    "SpdxCcByNc": "spdx license identifier cc by nc 4 0",
+    "SpdxCcByNd": "spdx license identifier cc by nd 4 0",
+    "SpdxCcByNcSa": "spdx license identifier cc by nc sa 4 0",
+}
+
+#: These come before RULES.
+MORE_RULES = (
+    ("AGPL-3.0-or-later", "FreeProgram? Agpl3Later GplHope? GplImplied? AgplSee? AgplCopy?"),
+    ("MPL-2.0", "MplSubject MplCopyHttps"),
+    ("AGPL-3.0-or-later", "SpdxAgpl3Later"),
+    ("AGPL-3.0-only", "Agpl3Short|Agpl3Licensed|SpdxAgpl3"),
+    ("ISC", "SpdxIsc"),
+    ("Unlicense", "SpdxUnlicense"),
+    ("GPL-2.0-or-later", "SpdxGpl2Later"),
+    ("GPL-3.0-or-later", "SpdxGpl3Later"),
+    ("LGPL-2.1-or-later", "SpdxLgpl21Later"),
+    ("LGPL-3.0-or-later", "SpdxLgpl3Later"),
+    ("CC0-1.0", "SpdxCc0"),
+    ("CC-BY-4.0", "SpdxCcBy"),
+    ("CC-BY-SA-4.0", "SpdxCcBySa"),
+    ("CC-BY-NC-4.0", "SpdxCcByNc"),
+    ("CC-BY-ND-4.0", "SpdxCcByNd"),
+    ("CC-BY-NC-SA-4.0", "SpdxCcByNcSa"),
+)
+
+#: A sentence ends at a mark before white space, or at an empty line (the SQL's rule).
 ENDS = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 
+#: The scan's rule is that of ENDS, but marks inside known sentences end nothing: that after an SPDX tag, that of
+#: "v. 2.0", and the semicolon before "either version".
+CUTS = (
+    r"(?<!(?i:spdx-license-identifier))(?!(?<=(?<![A-Za-z0-9])[Vv])\.[\x20\x09-\x0D]+[0-9])(?!;[^A-Za-z0-9]{1,80}(?i:either[^A-Za-z0-9]{1,80}version))"
+    r"[.!?;:]++[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
+)
+
 
 def pattern(rule: str) -> str:
     """The rule over a sequence written ``<A><B>`` as a regular expression."""
@@ -128,9 +179,9 @@ def _normal(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules=MORE_RULES + RULES) -> DataFrame:
     """``key``, ``n_sentences``, ``n_known``, ``sentence_ids`` in order, ``licenses`` in order, and ``unmatched_ids`` that no rule used."""
-    table = sentences or SENTENCES
+    table = sentences or SENTENCES | MORE_SENTENCES
     known = F.create_map(*[F.lit(x) for name, s in table.items() for x in (s, name)])
     lookup = lambda s: F.when(s.startswith("copyright "), F.lit("Copyright")).otherwise(F.try_element_at(known, s))
 
@@ -140,7 +191,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
         whole = F.transform(F.array(lookup(_normal(sentence))), lambda found: F.when(found.isNotNull(), F.array(found)).otherwise(F.filter(lines, lambda x: x.isNotNull())))
         return F.element_at(whole, 1)
 
-    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ENDS), lambda s: F.regexp_like(s, F.lit("[A-Za-z0-9]")))
+    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), CUTS), lambda s: F.regexp_like(s, F.lit("[A-Za-z0-9]")))
     found = docs.select(key, F.size(parts).cast("long").alias("n_sentences"), F.flatten(F.transform(parts, ids)).alias("ids"))
     marked = F.concat(F.lit(""), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
     for name, rule in rules:
@@ -162,7 +213,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``scan`` over documents."""
+    """DuckDB SQL for ``scan`` over documents that have none of MORE_SENTENCES and no marks that CUTS spares."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(s)}: {quote(n)}" for n, s in SENTENCES.items()) + "}"
     normal = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"

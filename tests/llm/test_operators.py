@@ -176,6 +176,125 @@ def test_licenses(spark, docs, none):
     assert {n for _, r in licenses.RULES for p in r.split() for n in p.rstrip("?").split("|")} <= {*licenses.SENTENCES, "Copyright"}
 
 
+GNU = """This {what} is free software{mark} you can redistribute it and/or modify
+it under the terms of the GNU {name}General Public License as published by
+the Free Software Foundation{either} either version {version} of the License, or
+(at your option) any later version.
+
+This {what} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {name}General Public License for more details.
+
+You should have received a copy of the GNU {name}General Public License
+along with this {what}.  If not, see <https://www.gnu.org/licenses/>.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at {}://mozilla.org/MPL/2.0/.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+CC = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial"}
+#: A notice as it is published, and its licence.
+NOTICES = [
+    (APACHE, "Apache-2.0"),
+    (BSD + BSD_AS_IS, "BSD-2-Clause"),
+    (BSD + ENDORSE + BSD_AS_IS, "BSD-3-Clause"),
+    (MIT, "MIT"),
+    (ISC, "ISC"),
+    (GNU.format(what="program", mark=";", name="", either=";", version="2"), "GPL-2.0-or-later"),
+    (GNU.format(what="program", mark=":", name="", either=",", version="3"), "GPL-3.0-or-later"),
+    (GNU.format(what="library", mark=";", name="Lesser ", either=";", version="2.1"), "LGPL-2.1-or-later"),
+    (GNU.format(what="library", mark=";", name="Lesser ", either=";", version="3"), "LGPL-3.0-or-later"),
+    (GNU.format(what="program", mark=":", name="Affero ", either=",", version="3"), "AGPL-3.0-or-later"),
+    (MPL.format("http"), "MPL-2.0"),
+    (MPL.format("https"), "MPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+    ("Released under the MIT License.", "MIT"),
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-only"),
+    ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0-only"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-only"),
+    ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("Licensed under the BSD 3-Clause License.", "BSD-3-Clause"),
+    ("Licensed under CC0 1.0.", "CC0-1.0"),
+    *((f"Licensed under CC {c} 4.0.", f"CC-{c}-4.0") for c in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA")),
+    *((f"This work is licensed under a Creative Commons {n} 4.0 International License.", f"CC-{c}-4.0") for c, n in CC.items()),
+    *((f"SPDX-License-Identifier: {n}", n) for n in sorted({n for n, _ in licenses.MORE_RULES + licenses.RULES})),
+]
+
+
+def scanned(spark, texts):
+    return [r for _, r in sorted((r.doc_id, r) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())]
+
+
+def test_every_licence_is_found_by_its_notice(spark):
+    commented = ["\n".join(f" * {line}".rstrip() if line else "" for line in t.split("\n")) for t, _ in NOTICES]
+    for texts in ([t for t, _ in NOTICES], commented):
+        got = scanned(spark, texts)
+        assert [(r.licenses, r.unmatched_ids) for r in got] == [(n, "") for _, n in NOTICES]
+    assert {n for _, n in NOTICES} == {n for n, _ in licenses.MORE_RULES + licenses.RULES}
+    used = {i for r in scanned(spark, [t for t, _ in NOTICES]) for i in r.sentence_ids.split(",")}
+    rest = {"ApacheCopyUrl", "MitLicensed", "MitTitle", "MitTitleThe", "Gpl2Licensed", "Gpl3Licensed", "Agpl3Licensed"}
+    assert used | rest == {*licenses.SENTENCES, *licenses.MORE_SENTENCES}
+    # Marks elsewhere end sentences as before.
+    assert [r.n_sentences for r in scanned(spark, ["I came; either way. v. Chr. 3: x", "a v.\nb; c"])] == [6, 3]
+
+
 # 4. token files
 
 
