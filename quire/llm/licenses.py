@@ -158,13 +158,17 @@ MORE_RULES = (
 #: A sentence ends at a mark before white space, or at an empty line (the SQL's rule).
 ENDS = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 
-#: The scan's rule is that of ENDS, but marks inside known sentences end nothing: that after an SPDX tag, that of
+#: The scan's rule is that of ENDS, but a line of comment marks alone is empty too, and marks inside known sentences end nothing: that after an SPDX tag, that of
 #: "v. 2.0", and the semicolon before "either version".
 CUTS = (
     r"(?<!(?i:spdx-license-identifier))(?!(?<=(?<![A-Za-z0-9])[Vv])\.[\x20\x09-\x0D]+[0-9])(?!;[^A-Za-z0-9]{1,80}(?i:either[^A-Za-z0-9]{1,80}version))"
-    r"[.!?;:]++[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
+    r"[.!?;:]++[\x20\x09-\x0D]+|\n[\x20\x09-\x0D#*/;%-]*\n"
 )
 
+_NOTICE = r"[^a-z0-9\n]*copyright(?![^a-z0-9\n]+(?:notice|holder|owner|law|and|or|in)s?(?![a-z0-9]))[^a-z0-9\n]+[a-z0-9][^\n]*"
+#: Copyright lines in a row, with the years and the reservation that may follow, in lower case; not text that is wrapped before the word.
+NOTICES = rf"(?m)^{_NOTICE}(?:\n(?:{_NOTICE}|[^a-z0-9\n]*(?:[12][0-9]{{3}}(?![0-9])|all rights reserved)[^\n]*))*+"
+
 
 def pattern(rule: str) -> str:
     """The rule over a sequence written ``<A><B>`` as a regular expression."""
@@ -184,12 +188,23 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
     table = sentences or SENTENCES | MORE_SENTENCES
     known = F.create_map(*[F.lit(x) for name, s in table.items() for x in (s, name)])
     lookup = lambda s: F.when(s.startswith("copyright "), F.lit("Copyright")).otherwise(F.try_element_at(known, s))
+    # A one-element array binds what is looked up to a variable, so it is evaluated once.
+    first = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+
+    def found_in(part: Column, otherwise) -> Column:
+        return first(F.try_element_at(known, _normal(part)), lambda found: F.when(found.isNotNull(), F.array(found)).otherwise(otherwise(part)))
+
+    def by_line(part: Column) -> Column:
+        return F.filter(F.transform(F.split(part, "\n"), lambda line: lookup(_normal(line))), lambda x: x.isNotNull())
+
+    def around_notices(sentence: Column) -> Column:
+        # No sentence has an empty line, so it separates; the notice itself becomes one line.
+        cut = F.split(F.regexp_replace(F.lower(sentence), NOTICES, "\n\ncopyright notice\n\n"), "\n\n")
+        return F.flatten(F.transform(cut, lambda part: found_in(part, by_line)))
 
     def ids(sentence: Column) -> Column:
-        # A one-element array binds the lookup to a variable, so it is evaluated once.
-        lines = F.transform(F.split(sentence, "\n"), lambda line: lookup(_normal(line)))
-        whole = F.transform(F.array(lookup(_normal(sentence))), lambda found: F.when(found.isNotNull(), F.array(found)).otherwise(F.filter(lines, lambda x: x.isNotNull())))
-        return F.element_at(whole, 1)
+        rest = lambda s: F.when(F.lower(s).contains("copyright"), around_notices(s)).otherwise(by_line(s))
+        return found_in(sentence, rest)
 
     parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), CUTS), lambda s: F.regexp_like(s, F.lit("[A-Za-z0-9]")))
     found = docs.select(key, F.size(parts).cast("long").alias("n_sentences"), F.flatten(F.transform(parts, ids)).alias("ids"))
@@ -213,7 +228,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
 
 
 def oracle() -> str:
-    """DuckDB SQL for ``scan`` over documents that have none of MORE_SENTENCES and no marks that CUTS spares."""
+    """DuckDB SQL for ``scan`` over documents that have none of MORE_SENTENCES, no marks that CUTS spares, no lines of comment marks and nothing known beside a copyright line."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     known = "MAP {" + ", ".join(f"{quote(s)}: {quote(n)}" for n, s in SENTENCES.items()) + "}"
     normal = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"

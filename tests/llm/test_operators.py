@@ -295,6 +295,27 @@ def test_every_licence_is_found_by_its_notice(spark):
     assert [r.n_sentences for r in scanned(spark, ["I came; either way. v. Chr. 3: x", "a v.\nb; c"])] == [6, 3]
 
 
+def test_copyright_lines_hide_no_licence(spark):
+    shaped = [t for t in NOTICES if t[1] in ("MIT", "ISC", "BSD-2-Clause", "BSD-3-Clause", "Apache-2.0", "GPL-2.0-or-later")]
+    texts, want = [], []
+    for text, name in shaped:
+        for head in ("Copyright 2024 Foo\n", "Copyright (c) 2020 X\nCopyright (c) 2021 Y\n          2022 Z\nAll rights reserved\n", "x.c does things\nCopyright (C) 2020 X\n"):
+            for gap in ("", "\n"):
+                for mark in ("", "# ", " * ", "// ", "-- "):
+                    texts.append("\n".join(f"{mark}{line}".rstrip() for line in f"{head}{gap}{text}".split("\n")))
+                    want.append(name)
+    got = scanned(spark, texts)
+    assert [(t, r.licenses) for t, r in zip(texts, got, strict=True)] == list(zip(texts, want, strict=True))
+    assert all(r.sentence_ids.count("Copyright") == 1 for r in got)
+    # Text wrapped before the word is no notice; notices in a row of any length are one, those with other lines between aren't.
+    wrapped = MIT.replace("The above copyright", "The above\ncopyright").replace("AUTHORS OR COPYRIGHT", "AUTHORS OR\nCOPYRIGHT")
+    alone = "Copyright 2020 X and\nothers\nCopyright 2021 Y"
+    got = scanned(spark, [wrapped, "Copyright 2020 X\n" * 50_000 + wrapped, "Copyright 2020 X\nAll rights reserved.", "copyright", "Copyright", alone])
+    assert [(r.sentence_ids, r.licenses) for r in got[2:]] == [("Copyright", ""), ("", ""), ("", ""), ("Copyright,Copyright", "")]
+    assert got[0].sentence_ids == "MitGrant,MitNotice,MitAsIs,MitLiable" and got[1].sentence_ids == "Copyright,MitGrant,MitNotice,MitAsIs,MitLiable"
+    assert (got[0].licenses, got[1].licenses, got[1].unmatched_ids) == ("MIT", "MIT", "")
+
+
 # 4. token files
 
 
