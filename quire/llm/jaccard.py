@@ -357,8 +357,8 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
 
     # Exact verification, a component of candidates at a time.
     sizes = loose.join(classes.select("node", "n_shingles"), "node").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n_shingles").alias("all_shingles"))
-    wanted = loose.join(classes.select("node", F.col("digest").alias("digest_"), "rep_id", "n", "sig"), "node").join(sizes, "root")
-    wanted = wanted.select("rep_id", "node", "digest_", "n", "sig", F.col("root").alias("group"), F.greatest(F.ceil(F.col("texts") / TILE), F.ceil(F.col("all_shingles") / TILE_SHINGLES)).alias("parts_"))
+    wanted = loose.join(classes.select("node", F.col("digest").alias("digest_"), "n", "sig"), "node").join(sizes, "root")
+    wanted = wanted.select("node", "digest_", "n", "sig", F.col("root").alias("group"), F.greatest(F.ceil(F.col("texts") / TILE), F.ceil(F.col("all_shingles") / TILE_SHINGLES)).alias("parts_"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -367,8 +367,9 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
                 made = [np.unique(found[x:y]).astype("<u8").tobytes() for x, y in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n", "sig", "group", "parts_")), pa.array(made, pa.large_binary()).cast(pa.binary())], names=["node", "n", "sig", "group", "parts_", "shingles"])
 
-    texts = docs.select(F.col(key).cast("long").alias("rep_id"), F.col(text).alias("text"))
-    told = wanted.join(texts, "rep_id").withColumn("digest", digest("text")).where("digest = digest_")
+    # One text a class, whatever its keys: equal texts combine before the shuffle.
+    texts = docs.select(digest(text).alias("digest"), F.col(text).alias("text")).groupBy("digest").agg(F.any_value("text").alias("text"))
+    told = wanted.join(texts, F.col("digest") == F.col("digest_"))
     told = told.select("node", "n", "sig", "group", "parts_", "text").mapInArrow(sets, "node long, n long, sig binary, group long, parts_ long, shingles binary")
     tiles = _dealt(tiled(told, F.col("parts_"), "group").select(*TILED, "side", "node", "n", "sig", "shingles"))
     exact = cut(tiles.mapInArrow(lambda it: exact_links(it, pruner, threshold), "node long, root long, links long"), "links")

@@ -603,6 +603,18 @@ def test_jaccard_join_in_small_tiles(spark, monkeypatch):
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(pairs)
 
 
+def test_jaccard_join_of_repeated_rows_and_null_keys(spark):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(500)]
+    near = lambda w: " ".join(["other", *w[1:]])
+    a, b, c = ([rng.choice(words) for _ in range(120)] for _ in range(3))
+    pairs = [(1, " ".join(a))] * 5 + [(2, near(a))] + [(None, " ".join(b)), (None, " ".join(b)), (3, near(b))] + [(None, " ".join(c)), (None, near(c))]
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    got = jaccard.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(pairs)
+    assert jaccard.keep_one(df).count() == 3
+
+
 def test_pruning_bound():
     from math import comb
 
