@@ -213,6 +213,7 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], pruner: Pruner) -> Iterat
     for table in grouped(batches, TILED):
         bounds = _bounds(table, TILED)
         node, side, sig = table.column("node").to_numpy(), table.column("side").to_numpy(), _matrix(table.column("sig"))
+        within = table.column("ti").to_numpy() == table.column("tj").to_numpy()
         a, b = [], []
         sizes = np.diff(bounds)
         two = bounds[:-1][sizes == 2]
@@ -221,7 +222,9 @@ def candidate_edges(batches: Iterator[pa.RecordBatch], pruner: Pruner) -> Iterat
         b.append(node[i + 1])
         for lo, hi in zip(bounds[:-1][sizes > 2].tolist(), bounds[1:][sizes > 2].tolist(), strict=True):
             mid = lo + int(np.searchsorted(side[lo:hi], 1))
-            same = mid == hi
+            same = bool(within[lo])
+            if not same and mid in (lo, hi):
+                continue
             i, j = pruner.all_pairs(sig[lo:mid], sig[lo:hi] if same else sig[mid:hi], same)
             root = forest(hi - lo, i, j if same else j + (mid - lo))
             own = np.flatnonzero(root != np.arange(hi - lo))
@@ -266,12 +269,16 @@ def exact_links(batches: Iterator[pa.RecordBatch], pruner: Pruner, threshold: fl
     for table in grouped(batches, TILED):
         bounds = _bounds(table, TILED)
         node, side, n, sig = table.column("node").to_numpy(), table.column("side").to_numpy(), table.column("n").to_numpy(), _matrix(table.column("sig"))
+        within = table.column("ti").to_numpy() == table.column("tj").to_numpy()
         raw = table.column("shingles")
         out: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(3)]
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in raw.slice(lo, hi - lo)]
             first = int(np.searchsorted(side[lo:hi], 1))
-            same = first == hi - lo
+            same = bool(within[lo])
+            # Of two chunks one may be empty; the other's own pairs are those of its own tile.
+            if not same and first in (0, hi - lo):
+                continue
+            sets = [np.frombuffer(x.as_buffer(), "<u8") for x in raw.slice(lo, hi - lo)]
             a, b = sets[:first], sets[:first] if same else sets[first:]
             if same:
                 b = a

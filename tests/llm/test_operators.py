@@ -615,6 +615,19 @@ def test_jaccard_join_of_repeated_rows_and_null_keys(spark):
     assert jaccard.keep_one(df).count() == 3
 
 
+def test_jaccard_join_where_chunks_are_empty(spark, monkeypatch):
+    """Few texts, so long that their group has more chunks than texts in some."""
+    monkeypatch.setattr(jaccard, "TILE_SHINGLES", 150)
+    rng = random.Random(3)
+    texts = []
+    for g in range(12):
+        w = [f"g{g}w{rng.randrange(500)}" for _ in range(200)]
+        texts += [" ".join([*w[:-1], f"end{k}"]) for k in range(2 + g % 2)]
+    pairs = list(enumerate(texts))
+    got = jaccard.near_duplicates(spark.createDataFrame(pairs, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(pairs)
+
+
 def test_pruning_bound():
     from math import comb
 
