@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ..workdir import new_path
 
 #: Bytes of text that an Arrow map handles at a time.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
+#: Bytes of a row group of a working table; a task that writes holds one.
+GROUP_BYTES = 16 << 20
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -23,7 +25,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,8 +64,9 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
-def runs(batch: pa.RecordBatch, weigh: str | None) -> Iterator[pa.RecordBatch]:
-    if not weigh or batch.num_rows == 0 or batch.column(weigh).nbytes <= CHUNK_BYTES:
+def runs(batch: pa.RecordBatch, weigh: str | None, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batch`` of at most ``most`` bytes of the column ``weigh``, or of one row. What a slice left behind goes back to the system before the next."""
+    if not weigh or batch.num_rows == 0:
         if batch.num_rows:
             yield batch
         return
@@ -72,8 +75,17 @@ def runs(batch: pa.RecordBatch, weigh: str | None) -> Iterator[pa.RecordBatch]:
     sizes = pc.fill_null(pc.binary_length(batch.column(weigh)), 0).to_pylist()
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if i > start and held + n > CHUNK_BYTES:
+        if i > start and held + n > most:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n
     yield batch.slice(start)
+    pa.default_memory_pool().release_unused()
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it where a column has it already."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

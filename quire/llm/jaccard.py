@@ -26,10 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .base import cut, ship
+from .base import cut, runs, ship
 from .components import components
 
 SHINGLE = 5
@@ -42,7 +42,7 @@ TOLERANCE = 1e-6
 TILE = 1024
 TILE_SHINGLES = 1 << 21
 #: Bytes of text whose arrays are held at a time.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -299,18 +299,6 @@ def exact_links(batches: Iterator[pa.RecordBatch], pruner: Pruner, threshold: fl
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=["node", "root", "links"])
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-    start = held = 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > CHUNK:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    if batch.num_rows:
-        yield batch.slice(start)
-
-
 def digest(text: str) -> Column:
     return F.substring(F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256)), 1, 16)
 
@@ -320,7 +308,7 @@ def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _chunks(batch):
+            for part in runs(batch, "text", CHUNK):
                 found, place = shingles(part.column("text"))
                 count = np.diff(place)
                 made = iter(signatures(found, place))
@@ -369,7 +357,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOL
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _chunks(batch):
+            for part in runs(batch, "text", CHUNK):
                 found, place = shingles(part.column("text"))
                 made = [np.unique(found[x:y]).astype("<u8").tobytes() for x, y in zip(place[:-1].tolist(), place[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("node", "n", "sig", "group", "parts_")), pa.array(made, pa.large_binary()).cast(pa.binary())], names=["node", "n", "sig", "group", "parts_", "shingles"])
@@ -405,7 +393,5 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     firsts = firsts.select(F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 62))).alias("k_"), F.col("first.digest").alias("d_"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("k"), digest(text).alias("d"))
     kept = whole.join(firsts, (F.col("k") == F.col("k_")) & (F.col("d") == F.col("d_")), "left_semi")
-    from pyspark.sql import Window
-
     nth = F.row_number().over(Window.partitionBy("k", "d").orderBy(F.lit(1)))
     return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
