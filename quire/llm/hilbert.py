@@ -6,13 +6,17 @@ keep each dimension narrow at once, so a reader prunes whole shards by the minim
 
 DataFrame expressions only. The curve is a table of ``2**(bits * dimensions)`` cells (32,768 at 5 bits and three
 dimensions), built from Skilling's rule, and broadcast under that bound. A cell can hold any share of the rows, so ranks
-are not given by one global or per-cell sort: a cell is split by a hash into SALTS parts, rows are numbered within
-the part, and each part is offset by the counts before it. Per-cell totals, at most one row a cell, are the only
+are not given by one global or per-cell sort: a cell is split by a hash of the row and of its input partition into SALTS parts, rows are
+numbered within the part, and each part is offset by the counts before it. Per-cell totals, at most one row a cell, are the only
 thing that a single task orders.
 
-Defined results: a null coordinate is in a bucket of its own before all others; strings are compared by their first six
-bytes; a null text counts 0 bytes and has the checksum of an empty one; ties on the curve are ordered by hash, then by
-key, size and checksum; repeated rows take a slot each; an empty table gives no rows.
+Cut points of numbers are approximate quantiles; those of strings are exact quantiles of whole values, however long a beginning they
+share (and every value, where there are fewer values than buckets): values are counted, the counts dealt by range and summed in each range.
+
+Defined results: a null coordinate is in a bucket of its own before all others; strings are compared by code point, whole, of any length; a null text
+counts 0 bytes and has the checksum of an empty one, a very long one counts as many as it has; ties on the curve are in the order of the parts, then of
+key, size and checksum; rows with a null key and repeated rows take a slot each; an empty table gives no rows. Columns other than key, text and the
+dimensions are ignored by ``assign``; ``write_shards`` keeps them all, and names its own column ``shard_`` where ``shard`` is taken (with as many underscores as it needs).
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .base import cut
+from .base import cut, free_name
 
 SALTS = 256
 BITS = 5
@@ -62,21 +66,45 @@ def curve(bits: int, dimensions: int) -> list[tuple[int, int]]:
 
 
 def code(df: DataFrame, name: str) -> Column:
-    """A number in the order of the column's values (strings: of their first six bytes)."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.conv(F.rpad(F.substring(F.hex(F.encode(F.col(name), "UTF-8")), 1, 12), 12, "0"), 16, 10).cast("long")
-    return F.col(name).cast("double")
+    """The column's value as cut points compare it: a string as it is, anything else as a number."""
+    return F.col(name) if isinstance(df.schema[name].dataType, T.StringType) else F.col(name).cast("double")
+
 
+def string_cuts(df: DataFrame, name: str, n: int) -> list[str]:
+    """At most ``n - 1`` ascending cut points of a string column, at the exact n-quantiles of its values over all rows.
 
-def quantiles(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> list[list[float]]:
-    """Ascending cut points of each dimension over all rows: at most ``2**bits - 2`` numbers each."""
+    A value is one row of the counts, whatever its share of ``df``; those are dealt by range, so no task sees all values.
+    """
+    counts = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    dealt = cut(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "values")
+    sums = {r["part"]: (r["n"], r["values"]) for r in dealt.groupBy("part").agg(F.sum("n").alias("n"), F.count("*").alias("values")).collect()}
+    if sum(v for _, v in sums.values()) < n:
+        return sorted((r["v"] for r in dealt.select("v").collect()), key=str.encode)[:-1]  # each value has a bucket
+    before, whole = {}, 0
+    for part in sorted(sums):
+        before[part] = whole
+        whole += sums[part][0]
+    # A row a range, so that it can be broadcast.
+    ranges = df.sparkSession.createDataFrame(list(before.items()), "part int, before long")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v")) + F.col("before")
+    # A value is a cut point if it reaches a multiple of whole / n that those before it don't.
+    step = lambda c: F.floor(c * F.lit(n) / F.lit(whole))
+    found = dealt.join(F.broadcast(ranges), "part").withColumn("upto", upto).where((step(F.col("upto")) > step(F.col("upto") - F.col("n"))) & (F.col("upto") < whole))
+    return sorted((r["v"] for r in found.select("v").collect()), key=str.encode)
+
+
+def quantiles(df: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> list[list[float] | list[str]]:
+    """Ascending cut points of each dimension over all rows: at most ``2**bits - 2`` values each."""
     n = (1 << bits) - 1
     shares = F.array(*[F.lit(i / n) for i in range(1, n)])
-    row = df.agg(*[F.array_sort(F.array_distinct(F.percentile_approx(code(df, d), shares, 10_000))).alias(f"d{i}") for i, d in enumerate(dimensions)]).first()
-    return [list(row[f"d{i}"] or []) for i in range(len(dimensions))]
+    text = {d for d in dimensions if isinstance(df.schema[d].dataType, T.StringType)}
+    numbers = [d for d in dimensions if d not in text]
+    row = df.agg(F.count("*"), *[F.array_sort(F.array_distinct(F.percentile_approx(code(df, d), shares, 10_000))).alias(f"d{i}") for i, d in enumerate(numbers)]).first() if numbers else None
+    told = {d: list(row[f"d{i}"] or []) for i, d in enumerate(numbers)}
+    return [string_cuts(df, d, n) if d in text else told[d] for d in dimensions]
 
 
-def bucket(value: Column, cuts: list[float]) -> Column:
+def bucket(value: Column, cuts: list) -> Column:
     """0 for null, else 1 and the number of cut points below the value."""
     over = F.lit(1)
     for c in cuts:
@@ -84,11 +112,8 @@ def bucket(value: Column, cuts: list[float]) -> Column:
     return F.when(value.isNull(), 0).otherwise(over)
 
 
-def assign(docs: DataFrame, shards: int = 40, law: str = "rows", dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: str = "doc_id", text: str = "text", extra: int = 16) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, and the curve place of every row.
-
-    ``law`` is ``rows`` (shard counts differ by one at most) or ``bytes`` (runs of near-equal bytes).
-    """
+def _placed(docs: DataFrame, shards: int, law: str, dimensions: tuple[str, ...], bits: int, key: str, text: str, extra: int, *kept: Column) -> DataFrame:
+    """Every row's doc_id, size, text_crc32, place on the curve, shard and slot, and the columns ``kept``."""
     if law not in ("rows", "bytes"):
         raise ValueError("law is rows or bytes")
     spark = docs.sparkSession
@@ -97,10 +122,11 @@ def assign(docs: DataFrame, shards: int = 40, law: str = "rows", dimensions: tup
     for d, points in zip(dimensions, cuts, strict=True):
         cell = cell * F.lit(1 << bits) + bucket(code(docs, d), points)
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    own = docs.select(F.col(key).alias("doc_id"), (F.length(raw) + F.lit(extra)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), cell.cast("int").alias("cell"))
+    own = docs.select(F.col(key).alias("doc_id"), (F.length(raw) + F.lit(extra)).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), cell.cast("int").alias("cell"), *kept)
     places = spark.createDataFrame(curve(bits, len(dimensions)), "cell int, place int")
     own = own.join(F.broadcast(places), "cell").drop("cell")
-    own = cut(own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SALTS)).cast("int")), "hilbert")
+    # The input partition splits rows that are equal in all; the written table holds on to it.
+    own = cut(own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_crc32", F.spark_partition_id()), F.lit(SALTS)).cast("int")), "hilbert")
 
     parts = own.groupBy("place", "salt").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
     cells = parts.groupBy("place").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
@@ -126,19 +152,35 @@ def assign(docs: DataFrame, shards: int = 40, law: str = "rows", dimensions: tup
         firsts = rows.groupBy("shard").agg(F.min("rank").alias("first_rank"))
         rows = rows.join(F.broadcast(firsts), "shard")  # a row a shard
         slot = F.col("rank") - F.col("first_rank")
-    return rows.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), F.col("shard").cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), F.col("place").alias("curve_place"))
+    return rows.withColumns({"shard": F.col("shard").cast("int"), "slot": slot.cast("long")})
 
 
-def write_shards(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """Write ``docs`` as Parquet, one folder a shard, each in slot order."""
-    placed = docs.join(assigned.select(F.col("doc_id").alias(key), "shard", "slot"), key)
-    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def assign(docs: DataFrame, shards: int = 40, law: str = "rows", dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: str = "doc_id", text: str = "text", extra: int = 16) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, and the curve place of every row.
+
+    ``law`` is ``rows`` (shard counts differ by one at most) or ``bytes`` (runs of near-equal bytes).
+    """
+    rows = _placed(docs, shards, law, dimensions, bits, key, text, extra)
+    return rows.select("doc_id", "size", "text_crc32", F.lit(law).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.col("place").alias("curve_place"))
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 40, law: str = "rows", dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, key: str = "doc_id", text: str = "text") -> str:
+    """Write ``docs`` as Parquet, one folder a shard, each in slot order; returns the name of the folders' column.
+
+    Each row travels with its place, so exactly the rows of ``docs`` are written, whatever their keys.
+    """
+    name = free_name("shard", docs.columns)
+    held = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    placed = _placed(docs, shards, law, dimensions, bits, key, text, 16, held).select(F.col("shard").alias("s_"), F.col("slot").alias("p_"), "row")
+    dealt = placed.repartitionByRange("s_", "p_").sortWithinPartitions("s_", "p_")
+    dealt.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], F.col("s_").alias(name)).write.partitionBy(name).parquet(path)
+    return name
 
 
-def zone_map(sharded: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS) -> DataFrame:
+def zone_map(sharded: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, shard: str = "shard") -> DataFrame:
     """Each shard's rows, and minimum and maximum of each dimension."""
     ends = [f(d).alias(f"{n}_{d}") for d in dimensions for n, f in (("min", F.min), ("max", F.max))]
-    return sharded.groupBy("shard").agg(F.count("*").alias("rows"), *ends)
+    return sharded.groupBy(F.col(shard).alias("shard")).agg(F.count("*").alias("rows"), *ends)
 
 
 def prune(zones: DataFrame, wanted: dict[str, tuple[object, object]]) -> DataFrame:
