@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 
 #: Words kept a worker; a full table is emptied, which changes times but not ids.
 TABLE_WORDS = 300_000
+#: Code points of a word that the table keeps; longer words are encoded each time, so the table's bytes are bounded too.
+TABLE_LENGTH = 64
 #: New words encoded at a time.
 LEARN_WORDS = 50_000
 
@@ -101,11 +103,14 @@ class WordIds:
             some = words[lo : lo + LEARN_WORDS]
             got = list(map(self.table.get, some))
             if None in got:
-                missing = {w for w, g in zip(some, got, strict=True) if g is None}
+                long = [i for i, w in enumerate(some) if len(w) > TABLE_LENGTH]
+                missing = {w for w, g in zip(some, got, strict=True) if g is None and len(w) <= TABLE_LENGTH}
                 if len(self.table) + len(missing) > TABLE_WORDS:  # the table will be emptied
-                    missing.update(some)
+                    missing.update(w for w in some if len(w) <= TABLE_LENGTH)
                 self._learn(missing)
-                got = list(map(self.table.__getitem__, some))
+                got = list(map(self.table.get, some))
+                for i, ids in zip(long, self._direct([some[i] for i in long]), strict=True):
+                    got[i] = ids
             out += got
         sizes = np.fromiter(map(len, out), np.int64, len(out)) // self.width
         return np.frombuffer(b"".join(out), self.kind), sizes
