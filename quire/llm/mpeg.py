@@ -3,14 +3,14 @@
 ``write_stream`` stores bytes losslessly in a valid variable-bitrate Layer III stream: silent
 granules (all side information zero) leave each frame's main data free for ancillary bytes, the
 place where the format allows foreign data. ``parse`` reads any MPEG-1/2/2.5 stream: it skips and
-reads tags (ID3v2, ID3v1, APE), resynchronises on frame headers, reads Xing, Info and VBRI tables,
-verifies checksums and gives exact durations and the offset of each frame.
+reads tags (ID3v2.2 to 2.4, ID3v1, APE), resynchronises on frame headers, reads Xing, Info and VBRI tables and holds their counts and seek
+points against the frames, verifies checksums (of all three layers' frames, and of Info tags) and gives exact durations and the offset of each frame.
 
 Free style (Arrow maps): frame headers chain by length, which columns can't express. Both maps are
 narrow, a row at a time, so neither skew nor repeated rows matter.
 
 Defined results: a null text stores as an empty one; an empty payload still gives a stream of one
-table frame; a stream without any frame has zero frames, a null rate and a null duration; null media
+table frame; a very long one a stream as long as it needs; an empty table gives no rows; a stream without any frame has zero frames, a null rate and a null duration; null media
 gives nulls. Other columns pass through ``parse_media`` untouched, but one that has the name of a column that it makes gives way.
 """
 
@@ -56,6 +56,22 @@ def crc16(data: bytes) -> int:
     return c
 
 
+_STEP_REFLECTED = []
+for _n in range(256):
+    _c = _n
+    for _ in range(8):
+        _c = _c >> 1 ^ (0xA001 if _c & 1 else 0)
+    _STEP_REFLECTED.append(_c)
+
+
+def crc16_reflected(data: bytes) -> int:
+    """An Info tag's checksum: the same polynomial from the low bit, zeros at first."""
+    c = 0
+    for b in data:
+        c = c >> 8 ^ _STEP_REFLECTED[(c ^ b) & 255]
+    return c
+
+
 def header(data: bytes, at: int) -> dict | None:
     """The frame header at ``at``, or None where there is no valid one."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
@@ -75,15 +91,53 @@ def header(data: bytes, at: int) -> dict | None:
     }
 
 
+# Fixed values of the format: Layer II bits of a subband's allocation, as (subbands, bits), by table.
+ALLOCATION = {"low 32": ((2, 4), (10, 3)), "low": ((2, 4), (6, 3)), "27": ((11, 4), (12, 3), (4, 2)), "30": ((11, 4), (12, 3), (7, 2)), "half rates": ((4, 4), (7, 3), (19, 2))}
+
+
+def allocation(h: dict) -> list[int]:
+    """Bits of each subband's allocation in a Layer II frame."""
+    each = h["kbps"] // h["channels"]
+    if h["version"] != 10:
+        name = "half rates"
+    elif each < 56:
+        name = "low 32" if h["hz"] == 32000 else "low"
+    else:
+        name = "30" if each >= 96 and h["hz"] != 48000 else "27"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def _covered_bits(data: bytes, h: dict) -> int:
+    """How many bits after the checksum of a Layer II frame it covers: allocations, and the scale factor selection of each subband that is used."""
+    bits, (at, n), total, used = allocation(h), (h["at"] + 6, 64), 0, 0
+    word = int.from_bytes(data[at : at + n], "big")
+    bound = min(4 * (h["ext"] + 1), len(bits)) if h["joint"] else len(bits)
+    for sb, b in enumerate(bits):
+        for own in range(h["channels"] if sb < bound else 1):
+            total += b
+            if word >> (8 * n - total) & (1 << b) - 1:
+                used += 1 if sb < bound else h["channels"]
+    return total + 2 * used
+
+
 def _checksum(data: bytes, h: dict) -> bool | None:
-    """Whether the frame's checksum holds; None where there is none or its extent isn't fixed (Layer II)."""
-    if not h["crc"] or h["layer"] == 2:
+    """Whether the frame's checksum holds; None where there is none."""
+    if not h["crc"]:
         return None
-    at, over = h["at"], SIDE_INFO[h["version"], h["channels"]]
+    at = h["at"]
+    found = int.from_bytes(data[at + 4 : at + 6], "big")
+    if h["layer"] == 2:
+        n = _covered_bits(data, h)
+        c = crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + n // 8])
+        for k in range(n % 8):  # the last byte in part
+            c ^= (data[at + 6 + n // 8] >> (7 - k) & 1) << 15
+            c = (c << 1 ^ (0x8005 if c & 0x8000 else 0)) & 0xFFFF
+        return c == found
     if h["layer"] == 1:
         bound = 4 * (h["ext"] + 1) if h["joint"] else 32
-        over = (16 if h["channels"] == 1 else (bound * 8 + (32 - bound) * 4) // 8)
-    found = int.from_bytes(data[at + 4 : at + 6], "big")
+        over = 16 if h["channels"] == 1 else (bound * 8 + (32 - bound) * 4) // 8
+    else:
+        over = SIDE_INFO[h["version"], h["channels"]]
     return crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + over]) == found
 
 
@@ -91,29 +145,42 @@ def _syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
+def _text(body: bytes) -> str:
+    coding = ("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0]] if body[0] < 4 else "latin-1"
+    return body[1:].decode(coding, "replace").rstrip("\0")
+
+
 def id3v2(data: bytes, at: int) -> tuple[int, dict[str, str]]:
-    """Where the tag at ``at`` ends (``at`` itself if there is none) and its text frames."""
+    """Where the tag at ``at`` ends (``at`` itself if there is none) and its text frames, of versions 2.2 to 2.4, unsynchronised or not."""
     if data[at : at + 3] != b"ID3" or len(data) < at + 10 or max(data[at + 6 : at + 10]) > 127:
         return at, {}
     major, flags, tags = data[at + 3], data[at + 5], {}
     end = at + 10 + _syncsafe(data[at + 6 : at + 10])
-    pos = at + 10
-    if flags & 0x40 and major >= 3 and pos + 4 <= end:
-        pos += _syncsafe(data[pos : pos + 4]) if major == 4 else 4 + int.from_bytes(data[pos : pos + 4], "big")
-    while major >= 3 and pos + 10 <= min(end, len(data)) and data[pos]:
-        size = data[pos + 4 : pos + 8]
+    after = min(end + (10 if major == 4 and flags & 0x10 else 0), len(data))
+    if major not in (2, 3, 4):
+        return after, tags
+    raw = data[at + 10 : end]
+    if flags & 0x80 and major < 4:  # all of the tag; in 2.4 it is told frame by frame
+        raw = raw.replace(b"\xff\0", b"\xff")
+    pos, head = 0, 6 if major == 2 else 10
+    if flags & 0x40 and major >= 3 and len(raw) >= 4:
+        pos = _syncsafe(raw[:4]) if major == 4 else 4 + int.from_bytes(raw[:4], "big")
+    while pos + head <= len(raw) and raw[pos]:
+        size = raw[pos + 3 : pos + 6] if major == 2 else raw[pos + 4 : pos + 8]
         n = _syncsafe(size) if major == 4 else int.from_bytes(size, "big")
-        body = data[pos + 10 : min(pos + 10 + n, end)]
-        if data[pos : pos + 1] == b"T" and body:
-            coding = ("latin-1", "utf-16", "utf-16-be", "utf-8")[body[0]] if body[0] < 4 else "latin-1"
-            text = body[1:].decode(coding, "replace").rstrip("\0")
-            name = data[pos : pos + 4].decode("latin-1")
-            if name == "TXXX":
+        name, body = raw[pos : pos + (3 if major == 2 else 4)].decode("latin-1"), raw[pos + head : pos + head + n]
+        if major == 4:
+            told = raw[pos + 9]
+            body = body[4:] if told & 1 else body  # a length goes before
+            body = body.replace(b"\xff\0", b"\xff") if told & 2 or flags & 0x80 else body
+        if name[0] == "T" and body:
+            text = _text(body)
+            if name in ("TXXX", "TXX"):
                 own, _, text = text.partition("\0")
                 name = f"TXXX:{own}"
             tags[name] = text
-        pos += 10 + n
-    return min(end + (10 if major == 4 and flags & 0x10 else 0), len(data)), tags
+        pos += head + n
+    return after, tags
 
 
 def _tail_tags(data: bytes, end: int) -> tuple[int, dict[str, str]]:
@@ -126,43 +193,60 @@ def _tail_tags(data: bytes, end: int) -> tuple[int, dict[str, str]]:
                 tags[f"ID3v1:{name}"] = text
     if end >= 32 and data[end - 32 : end - 24] == b"APETAGEX":
         size, count, flags = struct.unpack("<III", data[end - 20 : end - 8])
-        pos = max(0, end - size)
-        for _ in range(min(count, 1000)):
-            if pos + 8 > end - 32:
-                break
+        pos, seen = max(0, end - size), 0
+        while seen < count and pos + 8 <= end - 32:  # the tag's own size bounds the items
             n, kind = struct.unpack("<II", data[pos : pos + 8])
             stop = data.find(b"\0", pos + 8, end)
             if stop < 0:
                 break
             if not kind & 6:
                 tags["APE:" + data[pos + 8 : stop].decode("latin-1")] = data[stop + 1 : stop + 1 + n].decode("utf-8", "replace")
-            pos = stop + 1 + n
+            pos, seen = stop + 1 + n, seen + 1
         end = max(0, end - size - (32 if flags & 0x80000000 else 0))
     return end, tags
 
 
 def _table(data: bytes, h: dict) -> dict | None:
-    """The variable-bitrate table in the frame ``h``, or None."""
+    """The variable-bitrate table in the frame ``h``, or None: its counts, its seek points, and for an Info tag its own checksum."""
     at, end = h["at"], min(h["at"] + h["size"], len(data))
     pos = at + 4 + SIDE_INFO[h["version"], h["channels"]]
+    out: dict = {"kind": "VBRI", "frames": None, "bytes": None, "toc": None, "points": None, "delay": 0, "padding": 0, "crc": None}
     for pos in (pos, pos + 2):
         kind = data[pos : pos + 4]
         if kind in (b"Xing", b"Info"):
             flags, p = int.from_bytes(data[pos + 4 : pos + 8], "big"), pos + 8
-            out: dict = {"kind": kind.decode(), "frames": None, "bytes": None, "toc": None, "delay": 0, "padding": 0}
+            out["kind"] = kind.decode()
             for bit, key in ((XING_FRAMES, "frames"), (XING_BYTES, "bytes")):
                 if flags & bit:
                     out[key] = int.from_bytes(data[p : p + 4], "big")
                     p += 4
-            if flags & XING_TOC:
+            if flags & XING_TOC and p + 100 <= end:
                 out["toc"] = data[p : p + 100]
-            if pos + 144 <= end and data[pos + 120 : pos + 124] in (b"LAME", b"Lavf", b"Lavc"):
+            if pos + 156 <= end and data[pos + 120 : pos + 124] in (b"LAME", b"Lavf", b"Lavc"):
                 v = int.from_bytes(data[pos + 141 : pos + 144], "big")
                 out |= {"delay": v >> 12, "padding": v & 0xFFF}
+                told = int.from_bytes(data[pos + 154 : pos + 156], "big")
+                out["crc"] = crc16_reflected(data[at : pos + 154]) == told if told else None
             return out
-    if data[at + 36 : at + 40] == b"VBRI":
-        size, frames = struct.unpack(">II", data[at + 46 : at + 54])
-        return {"kind": "VBRI", "frames": frames, "bytes": size, "toc": None, "delay": 0, "padding": 0}
+    if data[at + 36 : at + 40] == b"VBRI" and at + 62 <= end:
+        size, frames, n, scale, wide, each = struct.unpack(">IIHHHH", data[at + 46 : at + 62])
+        points = [int.from_bytes(data[p : p + wide], "big") * scale for p in range(at + 62, at + 62 + n * wide, wide)] if wide and at + 62 + n * wide <= end else None
+        return out | {"frames": frames, "bytes": size, "points": points, "scale": scale, "each": each}
+    return None
+
+
+def _seeks(table: dict, frames: list[dict], begin: int, span: int) -> bool | None:
+    """Whether the table's seek points lead to the frames that they should, within a step of theirs; None where it has none. The stream begins at ``begin``."""
+    if table["toc"] and frames and span:
+        where = [(frames[p * len(frames) // 100]["at"] - begin) * 256 // span for p in range(100)]
+        return all(abs(t - min(255, w)) <= 1 for t, w in zip(table["toc"], where, strict=True))
+    if table["points"] and table["each"]:
+        at, ok = frames[0]["at"] if frames else 0, bool(frames)
+        for k, size in enumerate(table["points"], 1):
+            at += size
+            frame = k * table["each"]
+            ok = ok and (frame >= len(frames) or abs(frames[frame]["at"] - at) <= table["scale"] * (k + 1))
+        return ok
     return None
 
 
@@ -206,16 +290,17 @@ def parse(data: bytes) -> dict:
     checks = [_checksum(data, h) for h in frames]
     samples = max(0, sum(h["samples"] for h in audio) - (table["delay"] + table["padding"] if table else 0))
     hz = frames[0]["hz"] if frames else None
-    agrees = None
+    agrees = seeks = None
     if table:
         span = frames[-1]["at"] + frames[-1]["size"] - frames[0]["at"]
         agrees = table["frames"] in (None, len(audio)) and table["bytes"] in (None, span)
+        seeks = _seeks(table, audio, frames[0]["at"], table["bytes"] or span)
     return {
         "version": frames[0]["version"] if frames else None, "layer": frames[0]["layer"] if frames else None,
         "sample_rate": hz, "channels": frames[0]["channels"] if frames else None, "n_frames": len(audio),
         "n_samples": samples, "duration_us": samples * 1_000_000 // hz if hz else None,
         "min_kbps": min((h["kbps"] for h in audio), default=None), "max_kbps": max((h["kbps"] for h in audio), default=None),
-        "vbr_table": table["kind"] if table else None, "table_agrees": agrees,
+        "vbr_table": table["kind"] if table else None, "table_agrees": agrees, "seek_agrees": seeks, "table_crc_ok": table["crc"] if table else None,
         "crc_ok": sum(c is True for c in checks), "crc_bad": sum(c is False for c in checks),
         "resyncs": int(resyncs), "skipped_bytes": skipped, "frame_offsets": [h["at"] for h in audio],
         "tags": tags, "frames": audio,
@@ -273,7 +358,7 @@ def padded(raw: bytes, unit: int = 64) -> bytes:
     return raw.ljust(max(unit, -(-len(raw) // unit) * unit), b"\0")
 
 
-MEDIA = "version int, layer int, sample_rate int, channels int, n_frames long, n_samples long, duration_us long, min_kbps int, max_kbps int, vbr_table string, table_agrees boolean, crc_ok long, crc_bad long, resyncs long, skipped_bytes long, frame_offsets array<long>, tags map<string,string>"
+MEDIA = "version int, layer int, sample_rate int, channels int, n_frames long, n_samples long, duration_us long, min_kbps int, max_kbps int, vbr_table string, table_agrees boolean, seek_agrees boolean, table_crc_ok boolean, crc_ok long, crc_bad long, resyncs long, skipped_bytes long, frame_offsets array<long>, tags map<string,string>"
 
 
 def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: int = 64) -> DataFrame:
@@ -322,7 +407,7 @@ def stored_features(docs: DataFrame) -> DataFrame:
             seek = zlib.crc32(b"".join(x.to_bytes(8, "little") for x in found["frame_offsets"]))
             feature = (
                 f"frames={found['n_frames']};samples={found['n_samples']};hz={found['sample_rate']};us={found['duration_us']};"
-                f"kbps={found['min_kbps']}-{found['max_kbps']};table={found['vbr_table']}:{found['table_agrees']};"
+                f"kbps={found['min_kbps']}-{found['max_kbps']};table={found['vbr_table']}:{found['table_agrees']}:{found['seek_agrees']};"
                 f"crc={found['crc_ok']}/{found['crc_bad']};resyncs={found['resyncs']};seek={seek:08x}"
             )
             got = (len(body), hashlib.sha256(body).hexdigest(), zlib.crc32(body[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature, found["n_frames"], found["duration_us"])
