@@ -3,13 +3,13 @@
 A text is cut into sentences, each is normalised, and known licence sentences become identifiers (a sentence
 that isn't known gives way to its lines, so a licence line without a full stop before it is found too). The
 sequence of identifiers is then matched against ordered rules: longer and more specific sequences come first and use
-up the identifiers that they match.
+up the identifiers that they match. At most GAP unknown sentences may lie between two of a rule's identifiers, so parts that are far apart aren't taken for one licence.
 
 DataFrame expressions only, narrow: one pass over the text, no shuffle, so neither skew nor copies matter. The
-sentence table is a literal map in the plan.
+sentence table is a literal map in the plan. Every known sentence has one of a few words (``anchors``), so texts without any of them are cut and counted, but not looked up.
 
-Defined results: null and empty texts have no sentences and give empty strings; a null key passes through;
-repeated rows give repeated results; other columns are ignored.
+Defined results: null and empty texts have no sentences and give empty strings; a null key passes through; a text of any length is scanned whole; where several
+rules match at one place, the first of them takes it; repeated rows give repeated results; other columns are ignored, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -133,6 +133,29 @@ MORE_SENTENCES = {
     "SpdxCcByNc": "spdx license identifier cc by nc 4 0",
     "SpdxCcByNd": "spdx license identifier cc by nd 4 0",
     "SpdxCcByNcSa": "spdx license identifier cc by nc sa 4 0",
+    "Epl2Made": "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "ZlibAsIs": "this software is provided as is without any express or implied warranty",
+    "ZlibLiable": "in no event will the authors be held liable for any damages arising from the use of this software",
+    "ZlibGrant": "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "ZeroBsdGrant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "BoostGrant": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
+    "ArtisticShort": "licensed under the artistic license 2 0",
+    "ApacheBody": "apache license version 2 0 january 2004 http www apache org licenses",
+    "Gpl2Body": "gnu general public license version 2 june 1991",
+    "Gpl3Body": "gnu general public license version 3 29 june 2007",
+    "Lgpl21Body": "gnu lesser general public license version 2 1 february 1999",
+    "Lgpl3Body": "gnu lesser general public license version 3 29 june 2007",
+    "Agpl3Body": "gnu affero general public license version 3 19 november 2007",
+    "MplBody": "mozilla public license version 2 0",
+    "EplBody": "eclipse public license v 2 0",
+    "ArtisticBody": "the artistic license 2 0",
+    "SpdxEpl": "spdx license identifier epl 2 0",
+    "SpdxZlib": "spdx license identifier zlib",
+    "SpdxZeroBsd": "spdx license identifier 0bsd",
+    "SpdxBoost": "spdx license identifier bsl 1 0",
+    "SpdxArtistic": "spdx license identifier artistic 2 0",
+    "SpdxLgpl21": "spdx license identifier lgpl 2 1 only",
+    "SpdxLgpl3": "spdx license identifier lgpl 3 0 only",
 }
 
 #: These come before RULES.
@@ -153,8 +176,27 @@ MORE_RULES = (
     ("CC-BY-NC-4.0", "SpdxCcByNc"),
     ("CC-BY-ND-4.0", "SpdxCcByNd"),
     ("CC-BY-NC-SA-4.0", "SpdxCcByNcSa"),
+    ("Zlib", "Copyright? ZlibAsIs? ZlibLiable? ZlibGrant"),
+    ("0BSD", "Copyright? ZeroBsdGrant"),
+    ("BSL-1.0", "BoostGrant"),
+    ("EPL-2.0", "Epl2Made SpdxEpl?"),
+    ("EPL-2.0", "EplBody|SpdxEpl"),
+    ("Zlib", "SpdxZlib"),
+    ("0BSD", "SpdxZeroBsd"),
+    ("BSL-1.0", "SpdxBoost"),
+    ("Artistic-2.0", "ArtisticShort|ArtisticBody|SpdxArtistic"),
+    ("Apache-2.0", "ApacheBody"),
+    ("GPL-2.0-only", "Gpl2Body"),
+    ("GPL-3.0-only", "Gpl3Body"),
+    ("LGPL-2.1-only", "Lgpl21Body|SpdxLgpl21"),
+    ("LGPL-3.0-only", "Lgpl3Body|SpdxLgpl3"),
+    ("AGPL-3.0-only", "Agpl3Body"),
+    ("MPL-2.0", "MplBody"),
 )
 
+#: Unknown sentences that may lie between two identifiers of a rule (a number before a clause is one).
+GAP = 4
+
 #: A sentence ends at a mark before white space, or at an empty line (the SQL's rule).
 ENDS = r"[.!?;:]+[\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n"
 
@@ -171,14 +213,27 @@ NOTICES = rf"(?m)^{_NOTICE}(?:\n(?:{_NOTICE}|[^a-z0-9\n]*(?:[12][0-9]{{3}}(?![0-
 
 
 def pattern(rule: str) -> str:
-    """The rule over a sequence written ``<A><B>`` as a regular expression."""
-    out = []
+    """The rule over a sequence written ``<A>~<B>``, ``~`` for an unknown sentence, as a regular expression."""
+    out, begun, gap = [], False, f"~{{0,{GAP}}}"
     for part in rule.split():
-        names = "|".join(f"<{n}>" for n in part.rstrip("?").split("|"))
-        out.append(f"(?:{names})?" if part.endswith("?") else f"(?:{names})")
+        names = "(?:" + "|".join(f"<{n}>" for n in part.rstrip("?").split("|")) + ")"
+        if part.endswith("?"):
+            out.append(f"(?:{gap}{names})?" if begun else f"(?:{names}{gap})?")
+        else:
+            out.append(gap + names if begun else names)
+            begun = True
     return "".join(out)
 
 
+def anchors(table: dict[str, str]) -> list[str]:
+    """Words of which every known sentence, and every copyright line, has one."""
+    left, out = {frozenset(s.split()) for s in table.values()}, ["copyright"]
+    while left := {s for s in left if not s & set(out)}:
+        words = sorted({w for s in left for w in s if len(w) > 4} or {w for s in left for w in s})
+        out.append(max(words, key=lambda w: sum(w in s for s in left)))
+    return out
+
+
 def _normal(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
 
@@ -207,8 +262,15 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
         return found_in(sentence, rest)
 
     parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), CUTS), lambda s: F.regexp_like(s, F.lit("[A-Za-z0-9]")))
-    found = docs.select(key, F.size(parts).cast("long").alias("n_sentences"), F.flatten(F.transform(parts, ids)).alias("ids"))
-    marked = F.concat(F.lit(""), F.array_join(F.transform("ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
+    unknown = F.array(F.lit(""))
+    found = docs.select(F.col(key), F.col(text).alias("t_"), parts.alias("parts_"))
+    some = F.lit(False)
+    for word in anchors(table):
+        some = some | F.contains(F.lower("t_"), F.lit(word))
+    each = F.flatten(F.transform("parts_", lambda s: first(ids(s), lambda x: F.when(F.size(x) > 0, x).otherwise(unknown))))
+    found = found.select(key, F.size("parts_").cast("long").alias("n_sentences"), F.when(some, each).otherwise(F.array().cast("array<string>")).alias("all_"))
+    found = found.select(key, "n_sentences", "all_", F.filter("all_", lambda i: i != "").alias("ids"))
+    marked = F.concat(F.lit(""), F.array_join(F.transform("all_", lambda i: F.when(i == "", "~").otherwise(F.concat(F.lit("<"), i, F.lit(">")))), ""))
     for name, rule in rules:
         marked = F.regexp_replace(marked, pattern(rule), "{" + name + "}")
     return found.select(
@@ -244,8 +306,9 @@ n AS (SELECT doc_id, pos, sentence, {normal.format('sentence')} AS t FROM s),
 w AS (SELECT doc_id, pos, sentence, {found.format('t')} AS id FROM n),
 l AS (SELECT doc_id, pos, unnest(string_split(sentence, chr(10))) AS line, generate_subscripts(string_split(sentence, chr(10)), 1) AS sub FROM w WHERE id IS NULL),
 m AS (SELECT doc_id, pos, sub, {normal.format('line')} AS t FROM l),
-i AS (SELECT doc_id, pos, 0 AS sub, id FROM w WHERE id IS NOT NULL UNION ALL SELECT doc_id, pos, sub, {found.format('t')} FROM m),
-g AS (SELECT doc_id, count(*)::BIGINT AS n_known, string_agg(id, ',' ORDER BY pos, sub) AS sentence_ids, string_agg('<' || id || '>', '' ORDER BY pos, sub) AS m FROM i WHERE id IS NOT NULL GROUP BY doc_id),
+i AS (SELECT doc_id, pos, 0 AS sub, id FROM w WHERE id IS NOT NULL UNION ALL SELECT doc_id, pos, sub, id FROM (SELECT doc_id, pos, sub, {found.format('t')} AS id FROM m) WHERE id IS NOT NULL),
+u AS (SELECT doc_id, pos, sub, id, '<' || id || '>' AS mark FROM i UNION ALL SELECT doc_id, pos, 0, NULL, '~' FROM s WHERE (doc_id, pos) NOT IN (SELECT (doc_id, pos) FROM i)),
+g AS (SELECT doc_id, count(id)::BIGINT AS n_known, string_agg(id, ',' ORDER BY pos, sub) AS sentence_ids, string_agg(mark, '' ORDER BY pos, sub) AS m FROM u GROUP BY doc_id),
 c AS (SELECT doc_id, count(*)::BIGINT AS n_sentences FROM s GROUP BY doc_id),
 r AS (SELECT d.doc_id, coalesce(c.n_sentences, 0) AS n_sentences, coalesce(g.n_known, 0) AS n_known, coalesce(g.sentence_ids, '') AS sentence_ids, coalesce({marked}, '') AS m
       FROM documents d LEFT JOIN c USING (doc_id) LEFT JOIN g USING (doc_id))
