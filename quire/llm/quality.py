@@ -8,7 +8,7 @@ What a document's votes are is one of at most ``3 ** rules`` patterns (177,147 w
 over all documents, on the counts of patterns, and applied by a join on the pattern; that many rows are collected and
 broadcast at most, however large the corpus.
 
-DataFrame expressions only. Features are array functions over one document: no shuffle carries texts or words, and a very
+DataFrame expressions only (the model is fitted on the driver from the counts). Features are array functions over one document: no shuffle carries texts or words, and a very
 long document is one row of linear work (sorting its windows only where some repeat). Windows are compared by 64-bit hashes within one text.
 
 Defined results: a null or empty text has no words, fails the base conditions and isn't kept; a null key passes through; repeated
@@ -18,7 +18,9 @@ rows get equal results; columns with the features' names in ``docs`` don't distu
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,8 @@ SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: A word of letters alone, with the marks that may follow it.
+PLAIN = r"(?<![^\x20\x09-\x0D])[\p{L}'’-]++[.,;:!?]*+(?![^\x20\x09-\x0D])"
 
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = (
@@ -43,29 +47,28 @@ FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 def features(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` and FEATURES of its text. Each step names what later steps use more than once, so that Catalyst evaluates it once."""
     without = lambda chars: F.length("t") - F.length(F.translate("t", chars, ""))
-    upper = "".join(chr(c) for c in range(0x41, 0x180) if chr(c).isupper())
     df = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("t"))
     df = df.select(
         *keep,
         F.filter(F.split("t", SPACE_RE), lambda w: w != "").alias("words"),
         F.filter(F.split("t", "\n"), lambda line: F.translate(line, SPACES, "") != "").alias("lines"),
         F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
+        F.regexp_count("t", F.lit(PLAIN)).cast("long").alias("n_plain_words"),
         without(SYMBOLS).cast("long").alias("n_symbols"),
-        without(upper).cast("long").alias("n_upper"),
+        F.regexp_count("t", F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         without("!").cast("long").alias("n_marks"),
     )
-    small = ["word_chars", "n_symbols", "n_upper", "n_marks"]
+    small = ["word_chars", "n_plain_words", "n_symbols", "n_upper", "n_marks"]
     df = df.select(
         *keep, *small,
         F.size("words").cast("long").alias("n_words"),
-        F.size(F.filter("words", lambda w: F.regexp_like(w, F.lit(r"^[\p{L}'’-]+[.,;:!?]*$")))).cast("long").alias("n_plain_words"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("h1"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("lines", lambda line: F.regexp_like(line, F.lit("[.!?][\"”»)]?[\\x20\\x09-\\x0D]*$")))).cast("long").alias("n_ended_lines"),
     )
     stops = F.transform(F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)]), lambda w: F.xxhash64(w))
-    small += ["n_words", "n_plain_words", "n_lines", "n_dup_lines", "n_ended_lines"]
+    small += ["n_words", "n_lines", "n_dup_lines", "n_ended_lines"]
     pair = lambda name, by: F.zip_with(name, F.slice(name, by + 1, F.greatest(F.lit(1), F.col("n_words").cast("int"))), lambda a, b: F.xxhash64(a, b))
     df = df.select(
         *keep, *small, pair("h1", 1).alias("h2"),
@@ -114,30 +117,32 @@ def rules() -> dict[str, Column]:
     }
 
 
-def fit(patterns: dict[str, int], rounds: int = 100) -> tuple[float, list[float], list[float]]:
+def fit(patterns: dict[str, int], change: float = 1e-9, warn_after: int = 10_000) -> tuple[float, list[float], list[float]]:
     """(share of good documents, each rule's accuracy on good ones, and on bad ones) by expectation-maximisation over counts of vote patterns.
 
     Abstaining says nothing. It starts from rules that seldom reject good documents and that each find a part of the bad ones;
-    a rule stays no worse than chance (both accuracies sum to one at least), which keeps the two classes from trading places.
+    a rule stays no worse than chance (both accuracies sum to one at least), which keeps the two classes from trading places. Rounds go on
+    until no number changes by more than ``change``; should they not settle within ``warn_after`` rounds, a warning says so and the last numbers stand.
     """
     m = len(next(iter(patterns), ""))
     prior, good, bad = 0.8, [0.99] * m, [0.3] * m
-    for _ in range(rounds):
-        post = {p: posterior(p, prior, good, bad) for p in patterns}
-        total = sum(patterns.values())
-        was = (prior, *good, *bad)
-        prior = (sum(n * post[p] for p, n in patterns.items()) + 1) / (total + 2)
-        for j in range(m):
-            kept = [0.0, 0.0]  # weight of good documents by vote 0, 1
-            gone = [0.0, 0.0]
-            for p, n in patterns.items():
-                if p[j] != "-":
-                    kept[int(p[j])] += n * post[p]
-                    gone[int(p[j])] += n * (1 - post[p])
-            good[j] = (kept[1] + 19) / (sum(kept) + 20)
-            bad[j] = max((gone[0] + 8) / (sum(gone) + 20), 1 - good[j])
-        if max(abs(a - b) for a, b in zip(was, (prior, *good, *bad), strict=True)) < 1e-9:
-            break
+    votes = np.asarray([[{"0": 0, "1": 1}.get(v, -1) for v in p] for p in patterns], np.int8).reshape(len(patterns), m)
+    n = np.asarray(list(patterns.values()), float)
+    keep, drop = (votes == 1).astype(float), (votes == 0).astype(float)
+    for _ in range(warn_after):
+        was = np.asarray([prior, *good, *bad])
+        g, b = np.asarray(good), np.asarray(bad)
+        odds = math.log(prior) - math.log1p(-prior) + keep @ (np.log(g) - np.log1p(-b)) + drop @ (np.log1p(-g) - np.log(b))
+        post = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+        prior = float(((n * post).sum() + 1) / (n.sum() + 2))
+        of_good, of_bad = n * post, n * (1 - post)
+        kept, gone = (of_good @ keep, of_good @ drop), (of_bad @ keep, of_bad @ drop)
+        g = (kept[0] + 19) / (kept[0] + kept[1] + 20)
+        b = np.maximum((gone[1] + 8) / (gone[0] + gone[1] + 20), 1 - g)
+        good, bad = g.tolist(), b.tolist()
+        if not m or np.abs(was - [prior, *good, *bad]).max() <= change:
+            return prior, good, bad
+    warnings.warn(f"accuracies still change after {warn_after} rounds", stacklevel=2)
     return prior, good, bad
 
 
