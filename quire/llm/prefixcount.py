@@ -10,13 +10,17 @@ Pieces of the model never join over the start of a word, so the pass runs once f
 worker, and texts are put together from a table. Free style (Arrow map), narrow: a row at a time, so neither
 skew nor repeated rows matter.
 
-Defined results: null text counts as empty; empty text has 0 tokens and no bytes; a null key passes through.
+Defined results: null text counts as empty; empty text has 0 tokens and no bytes; a null key passes through; rows that repeat a document are
+counted each; a very long text is one row of linear work, in a worker's memory with one byte a code point; an empty table gives no rows; columns other than
+key and text are left out, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +33,8 @@ from .base import runs, ship
 SPACE = "▁"
 #: Distinct words, and pairs of neighbouring tokens, kept a worker; a full table is emptied.
 TABLE_WORDS = 800_000
+#: Code points of a word that the table keeps; longer words are counted each time, so the table's bytes are bounded too.
+TABLE_LENGTH = 64
 TABLE_PAIRS = 1_000_000
 _RUN = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 
@@ -101,7 +107,7 @@ class PrefixCounts:
                 j += 1
                 if j > n or (token := word[i:j]) not in begun:
                     break
-        return bytes([(b - a) & 0xFF for a, b in zip(count, count[1:], strict=False)])
+        return array("b", map(sub, count[1:], count)).tobytes()  # raises where a change is no signed byte
 
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.table) > TABLE_WORDS:
@@ -109,7 +115,9 @@ class PrefixCounts:
         got = list(map(self.table.get, words))
         for i, d in enumerate(got):
             if d is None:
-                got[i] = self.table[words[i]] = self.deltas(words[i])
+                got[i] = self.deltas(words[i])
+                if len(words[i]) <= TABLE_LENGTH:
+                    self.table[words[i]] = got[i]
         return got
 
     def _cut(self, text: str) -> list[str]:
@@ -148,7 +156,10 @@ class PrefixCounts:
         begin = ends[places - places[0]]
         # The added first space is no code point of the text: its change goes to the next, or nowhere.
         full = np.diff(begin) > 1
-        flat[begin[:-1][full] + 1] += flat[begin[:-1][full]]
+        moved = flat[begin[:-1][full] + 1].astype(np.int16) + flat[begin[:-1][full]]
+        if len(moved) and np.abs(moved).max() > 127:
+            raise OverflowError("a count changes by more than a signed byte holds")
+        flat[begin[:-1][full] + 1] = moved
         return np.delete(flat, begin[:-1]), begin - np.arange(n + 1)
 
 
