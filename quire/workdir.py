@@ -11,9 +11,11 @@ _own: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``; a temporary one where that is unset and driver and executors are one machine's."""
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return found.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="quire-"))
     return _own[0]
