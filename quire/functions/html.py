@@ -47,10 +47,10 @@ def strip_deprecated(html: Column | str) -> Column:
 
 
 def rewrite_link(link: Column | str) -> Column:
-    """A link without scheme as the name of a document: its path with ``.xhtml`` and its fragment; query and host are dropped. A link to a note keeps its fragment alone."""
+    """A link without scheme as the name of a document: its path with ``.xhtml`` and its fragment; query, parameters and host are dropped. A link to a note keeps its fragment alone."""
     h = _c(link)
     path = F.regexp_replace(F.regexp_replace(F.regexp_replace(h, "#.*$", ""), r"\?.*$", ""), "^//[^/]*", "")
-    path = F.regexp_replace(path, "(?<=[^/])/+$", "")
+    path = F.regexp_replace(path, ";[^/]*$", "")
     fragment = F.regexp_extract(h, "(#.*)$", 1)
     made = F.when(path == "", h).otherwise(F.concat(path, F.lit(".xhtml"), fragment))
     made = F.when(F.regexp_like(h, F.lit("^[A-Za-z][A-Za-z0-9+.-]*:")), h).otherwise(made)

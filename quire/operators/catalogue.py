@@ -14,8 +14,9 @@ from ..functions import items as I
 BOOK = "book"
 
 
-def items_in_order(items: DataFrame) -> DataFrame:
-    return items.orderBy(BOOK, "pos")
+def items_in_order(items: DataFrame, content: bool = False) -> DataFrame:
+    """Items in the order of their books. The sort moves the catalogue alone, unless ``content`` is asked for too."""
+    return (items if content else items.drop("content")).orderBy(BOOK, "pos")
 
 
 def with_type(items: DataFrame) -> DataFrame:
@@ -113,7 +114,7 @@ def author_metadata(authors: DataFrame) -> DataFrame:
     row = lambda name, ns, value, attrs: F.struct(F.lit(ns).alias("ns"), F.lit(name).alias("name"), value.alias("value"), attrs.alias("attrs"))
     rows = F.array(
         row("creator", C.NAMESPACES["DC"], F.col("author"), attr(id=F.col("id"))),
-        F.when(F.col("file_as").isNotNull(), row("meta", None, F.col("file_as"), F.array(F.struct(F.lit("refines").alias("k"), ref.alias("v")), F.struct(F.lit("property").alias("k"), F.lit("file-as").alias("v"))))),
+        F.when(F.col("file_as").isNotNull(), row("meta", None, F.col("file_as"), F.array(F.struct(F.lit("refines").alias("k"), ref.alias("v")), F.struct(F.lit("property").alias("k"), F.lit("file-as").alias("v")), F.struct(F.lit("scheme").alias("k"), F.lit("marc:relators").alias("v"))))),
         F.when(F.col("role").isNotNull(), row("meta", None, F.col("role"), F.array(F.struct(F.lit("refines").alias("k"), ref.alias("v")), F.struct(F.lit("property").alias("k"), F.lit("role").alias("v")), F.struct(F.lit("scheme").alias("k"), F.lit("marc:relators").alias("v"))))),
     )
     out = own.select(BOOK, "seq", F.posexplode(F.filter(rows, lambda r: r.isNotNull())).alias("sub", "m"))
@@ -161,6 +162,44 @@ def attach(documents: DataFrame, attached: DataFrame) -> DataFrame:
     return documents.join(per, [BOOK, "id"], "left")
 
 
+def set_value(items: DataFrame, where: Column, column: str, value: str | bool | None) -> DataFrame:
+    """A column of the items in ``where`` set to ``value``: title, lang, direction, media_overlay and so on."""
+    return items.withColumn(column, F.when(where, F.lit(value).cast(items.schema[column].dataType)).otherwise(F.col(column)))
+
+
+def set_language(items: DataFrame, where: Column, lang: str | None) -> DataFrame:
+    return set_value(items, where, "lang", lang)
+
+
+def set_direction(items: DataFrame, where: Column, direction: str | None) -> DataFrame:
+    return set_value(items, where, "direction", direction)
+
+
+def set_template(books: DataFrame, name: str, template: bytes) -> DataFrame:
+    """Books whose new documents of a kind (chapter, nav, cover, ncx) start from ``template``."""
+    have = F.coalesce("templates", F.create_map().cast("map<string,binary>"))
+    return books.withColumn("templates", F.map_concat(F.map_filter(have, lambda k, v: k != name), F.create_map(F.lit(name), F.lit(template))))
+
+
+def add_prefix(books: DataFrame, name: str, uri: str) -> DataFrame:
+    have = F.coalesce("prefixes", F.array().cast("array<string>"))
+    return books.withColumn("prefixes", F.concat(have, F.array(I.prefix(F.lit(name), F.lit(uri)))))
+
+
+def set_identifiers(metadata: DataFrame, uids: DataFrame, identifier_id: str = "id") -> DataFrame:
+    """``metadata`` with the one identifier of each book of ``uids`` (book, uid); it replaces all that the book had."""
+    own = (F.col("ns").eqNullSafe(F.lit(C.NAMESPACES["DC"]))) & (F.col("name") == "identifier")
+    rest = metadata.join(uids.select(BOOK, F.lit(True).alias("new_")), BOOK, "left").where(~(own & F.col("new_").isNotNull())).drop("new_")
+    attrs = F.array(F.struct(F.lit("id").alias("k"), F.lit(identifier_id).alias("v")))
+    return add_metadata(rest, uids.select(BOOK, F.lit(0).alias("seq"), F.lit("DC").alias("ns"), F.lit("identifier").alias("name"), F.col("uid").alias("value"), attrs.alias("attrs")))
+
+
+def add_titles(metadata: DataFrame, titles: DataFrame, name: str = "title") -> DataFrame:
+    """One more title (or language: ``name``) of each book of ``titles`` (book, value)."""
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    return add_metadata(metadata, titles.select(BOOK, F.lit(0).alias("seq"), F.lit("DC").alias("ns"), F.lit(name).alias("name"), "value", none.alias("attrs")))
+
+
 def set_content(items: DataFrame, where: Column, value: bytes) -> DataFrame:
     return items.withColumn("content", F.when(where, F.lit(value)).otherwise(F.col("content")))
 

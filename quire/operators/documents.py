@@ -8,13 +8,14 @@ from __future__ import annotations
 import re
 import subprocess
 from collections.abc import Callable, Iterator
-from urllib.parse import urlsplit
+from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..batches import runs
 from ..functions.dom import Element, document, markup, parse_html
 
 # The attributes that any element may keep, and those of single elements.
@@ -69,13 +70,18 @@ def pages(file_name: str, content: bytes | None) -> list[tuple[str, str, str]]:
     return out
 
 
-def _root(lang: str) -> Element:
-    return Element("html", {"xmlns": C.NAMESPACES["XHTML"], "xmlns:epub": C.NAMESPACES["EPUB"], "lang": lang, "xml:lang": lang})
+def _root(lang: str, template: bytes | None = None) -> Element:
+    """The root of a new document: that of ``template`` with what it holds, else a plain one."""
+    root = parse_html(template) if template else Element("html", {"xmlns": C.NAMESPACES["XHTML"], "xmlns:epub": C.NAMESPACES["EPUB"]})
+    if template:
+        root.kids = [k for k in root.kids if not (isinstance(k, str) and not k.strip()) and not (isinstance(k, Element) and k.name == "body" and not k.attrs and not k.kids)]
+    root.attrs |= {"lang": lang, "xml:lang": lang}
+    return root
 
 
-def render(item: dict, language: str) -> bytes:
-    """The whole document of an HTML item: head from its metas, title and links, body from its content. The source's own head is dropped."""
-    root = _root(item.get("lang") or language)
+def render(item: dict, language: str, template: bytes | None = None) -> bytes:
+    """The whole document of an HTML item: in the root of ``template``, head from its metas, title and links, body from its content. The source's own head is dropped."""
+    root = _root(item.get("lang") or language, template)
     head = root.add("head")
     for meta in item.get("metas") or ():
         head.add("meta", dict(meta))
@@ -92,14 +98,20 @@ def render(item: dict, language: str) -> bytes:
     return document(root)
 
 
-def render_cover(image: str, title: str, language: str) -> bytes:
+def render_cover(image: str, title: str, language: str, template: bytes | None = None) -> bytes:
     """The cover page that shows ``image``."""
     img = Element("img", {"src": image, "alt": title, "style": "height:100%; text-align:center"})
-    root = _root(language)
-    root.kids = [Element("head", None, *([Element("title", None, title)] if title else [])), Element("body", None, img)]
+    root = _root(language, template)
+    root.kids += [Element("head", None, *([Element("title", None, title)] if title else [])), Element("body", None, img)]
     return document(root)
 
 
+def allowed_attributes(attrs: Column | str, tag: str) -> Column:
+    """A map of attributes without those that neither any element nor ``tag`` in a body may keep."""
+    keep = [*GLOBAL_ATTRIBUTES, *BODY_ATTRIBUTES.get(tag, "").split()]
+    return F.map_filter(attrs, lambda k, v: k.isin(*keep) | k.startswith("xmlns"))
+
+
 def leave_only(e: Element, allowed: str | None) -> None:
     keep = {*GLOBAL_ATTRIBUTES, *(allowed or "").split()}
     e.attrs = {k: v for k, v in e.attrs.items() if k in keep or k.startswith("xmlns")}
@@ -156,12 +168,11 @@ def rewrite_links(content: bytes | None) -> bytes:
         if "InsertNoteID" in href:
             a.attrs["href"] = "#" + href.partition("#")[2]
             continue
-        u = urlsplit(href)
+        u = urlparse(href)
         if u.scheme:
             continue
         if u.path:
-            path = u.path.rstrip("/") or u.path
-            a.attrs["href"] = f"{path}.xhtml" + (f"#{u.fragment}" if u.fragment else "")
+            a.attrs["href"] = f"{u.path}.xhtml" + (f"#{u.fragment}" if u.fragment else "")
         if "name" in a.attrs:
             a.attrs["id"] = a.attrs.pop("name")
     return document(html)
@@ -209,29 +220,37 @@ def highlight_source(content: bytes | None) -> tuple[bytes | None, bool]:
     return (document(html), True) if done else (content, False)
 
 
+#: Time that tidy has for a document.
+TIDY_SECONDS = 60
+
+
 def tidy(content: bytes, **options: str) -> tuple[int, bytes]:
-    """(exit code, output) of an external tidy; (3, the content) where there is none."""
+    """(exit code, output) of an external tidy; (3, the content) where there is none, or where it takes longer than TIDY_SECONDS."""
     args = [x for k, v in options.items() for x in (f"--{k.replace('_', '-')}", v)]
     try:
-        done = subprocess.run(["tidy", *args], input=content, capture_output=True, timeout=60)
-    except OSError:
+        done = subprocess.run(["tidy", *args], input=content, capture_output=True, timeout=TIDY_SECONDS)
+    except (OSError, subprocess.TimeoutExpired):
         return 3, content
     return (done.returncode, done.stdout) if done.returncode < 2 else (done.returncode, content)
 
 
 def map_documents(items: DataFrame, change: Callable[[dict], dict], kinds: tuple[str, ...] = C.HTML_KINDS) -> DataFrame:
-    """``change`` over each document of ``items`` as a dict, giving the columns that it changes: what a per-document hook is here. Other items pass through."""
+    """``change`` over each document of ``items`` as a dict, giving the columns that it changes: what a per-document hook is here.
+
+    Other items pass by without Python; of documents, a run of bounded bytes is held at a time.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(items.schema)
+    document_ = F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = batch.to_pylist()
-            out = [r | change(r) if r["kind"] in kinds else r for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in schema], schema=schema)
+            for part in runs(batch, "content"):
+                out = [r | change(r) for r in part.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in schema], schema=schema)
 
-    return items.mapInArrow(run, items.schema)
+    return items.where(document_).mapInArrow(run, items.schema).unionByName(items.where(~document_))
 
 
 def _with_props(row: dict, more: list[str]) -> list[str]:
@@ -265,10 +284,11 @@ def pages_of(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(r["book"], r["pos"], n, f, i, label) for r in batch.to_pylist() for n, (f, i, label) in enumerate(pages(r["file_name"], r["content"]))]
-            names = ("book", "doc_pos", "n", "file_name", "fragment", "label")
-            types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=list(names))
+            for part in runs(batch, "content"):
+                rows = [(r["book"], r["pos"], n, f, i, label) for r in part.to_pylist() for n, (f, i, label) in enumerate(pages(r["file_name"], r["content"]))]
+                names = ("book", "doc_pos", "n", "file_name", "fragment", "label")
+                types = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=list(names))
 
     docs = items.where(F.col("kind").isin("html", "cover_html")).select("book", F.col("pos").cast("int").alias("pos"), "file_name", "content")
     return docs.mapInArrow(run, "book string, doc_pos int, n int, file_name string, fragment string, label string")
@@ -279,9 +299,10 @@ def bodies(items: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(r["book"], r["pos"], body_content(r["content"]), heading(parse_html(r["content"]).find("body") or Element("body"))) for r in batch.to_pylist()]
-            types = (pa.string(), pa.int32(), pa.binary(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=["book", "pos", "body", "heading"])
+            for part in runs(batch, "content"):
+                found = [(r["book"], r["pos"], body_content(r["content"]), heading(parse_html(r["content"]).find("body") or Element("body"))) for r in part.to_pylist()]
+                types = (pa.string(), pa.int32(), pa.binary(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], t) for k, t in enumerate(types)], names=["book", "pos", "body", "heading"])
 
     docs = items.where(F.col("kind").isin(*C.HTML_KINDS)).select("book", F.col("pos").cast("int").alias("pos"), "content")
     return docs.mapInArrow(run, "book string, pos int, body binary, heading string")

@@ -6,10 +6,11 @@ numbers that a walk would give are row numbers over it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import items as I
+from ..workdir import written
 from .catalogue import BOOK, first_by, first_ids
 
 
@@ -32,20 +33,36 @@ def inherited_src(toc: DataFrame) -> DataFrame:
     return toc.join(first, [BOOK, "path"], "left").withColumn("src", F.coalesce(F.nullif("href", F.lit("")), "below", F.lit(""))).drop("below")
 
 
-def walk(spark: SparkSession, nodes: DataFrame, id_: str = "id", parent: str = "parent", order: str = "ord", levels: int = 64) -> DataFrame:
-    """Adjacency rows (book, id, parent, ord) as ``path`` and ``depth``, by a recursive query a level at a time.
+def _jump(nodes: DataFrame, name: str, columns: dict) -> DataFrame:
+    """Rows (book, id, up, ...) whose ``up`` is moved to its own ``up`` until none moves: depth halves each round. What is left with an ``up`` is in a circle, or below one."""
+    left = None
+    while True:
+        open_ = nodes.where("up IS NOT NULL").count()
+        if open_ in (0, left):
+            return nodes
+        left = open_
+        above = nodes.select(F.col(BOOK).alias("book_"), F.col("id").alias("id_"), F.col("up").alias("up_"), *[F.col(c).alias(f"{c}_") for c in columns])
+        met = nodes.join(above, (F.col(BOOK) == F.col("book_")) & (F.col("up") == F.col("id_")), "left")
+        moved = {c: F.when(F.col("up").isNull(), F.col(c)).otherwise(how(F.col(f"{c}_"), F.col(c))).alias(c) for c, how in columns.items()}
+        nodes = written(met.select(BOOK, "id", F.when(F.col("up").isNotNull(), F.col("up_")).alias("up"), *moved.values()), name)
 
-    The session's limit on rows of a recursion is lifted, as a corpus has any number of nodes; ``levels`` ends cycles.
+
+def walk(nodes: DataFrame, id_: str = "id", parent: str = "parent", order: str = "ord") -> DataFrame:
+    """Adjacency rows (book, id, parent, ord; ids are unique in a book) as ``path`` and ``depth``, by pointer jumping: a tree of any depth takes a logarithmic number of joins.
+
+    ``error`` tells rows that hang on no root, without a path: ``orphan`` (an ancestor isn't there) or ``cycle``.
     """
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    nodes.select(BOOK, F.col(id_).alias("id"), F.col(parent).alias("parent"), F.col(order).cast("int").alias("ord")).createOrReplaceTempView("quire_nodes")
-    tree = spark.sql(f"""
-        WITH RECURSIVE tree(book, id, path, depth) MAX RECURSION LEVEL {levels} AS (
-            SELECT book, id, array(ord) AS path, 1 AS depth FROM quire_nodes WHERE parent IS NULL
-            UNION ALL
-            SELECT n.book, n.id, concat(t.path, array(n.ord)), t.depth + 1 FROM quire_nodes n JOIN tree t ON n.book = t.book AND n.parent = t.id)
-        SELECT * FROM tree""")
-    return tree
+    own = nodes.select(BOOK, F.col(id_).alias("id"), F.col(parent).alias("parent"), F.col(order).cast("int").alias("ord"))
+    known = own.select(F.col(BOOK).alias("book_"), F.col("id").alias("id_"))
+    own = own.join(known, (F.col(BOOK) == F.col("book_")) & (F.col("parent") == F.col("id_")), "left")
+    own = written(own.withColumn("orphan", F.col("parent").isNotNull() & F.col("id_").isNull()).withColumn("up", F.when(~F.col("orphan"), F.col("parent"))).drop("book_", "id_"), "nodes")
+    tops = _jump(own.select(BOOK, "id", "up", "orphan"), "tops", {"orphan": lambda above, here: above})
+    error = F.when(F.col("up_").isNotNull(), "cycle").when(F.col("orphan_"), "orphan")
+    told = own.join(tops.select(F.col(BOOK).alias("book_"), F.col("id").alias("id_"), F.col("up").alias("up_"), F.col("orphan").alias("orphan_")), (F.col(BOOK) == F.col("book_")) & (F.col("id") == F.col("id_")))
+    told = written(told.select(BOOK, "id", "up", F.array("ord").alias("path"), error.alias("error")), "told")
+    paths = _jump(told.where("error IS NULL").drop("error"), "paths", {"path": lambda above, here: F.concat(above, here)})
+    failed = told.where("error IS NOT NULL").select(BOOK, "id", F.lit(None).cast("array<int>").alias("path"), F.lit(None).cast("int").alias("depth"), "error")
+    return paths.select(BOOK, "id", "path", F.size("path").alias("depth"), F.lit(None).cast("string").alias("error")).unionByName(failed)
 
 
 def spine_rows(spine: DataFrame, items: DataFrame) -> DataFrame:

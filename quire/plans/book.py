@@ -16,6 +16,10 @@ from ..schemas import TABLES
 from ..sources.reader import Corpus
 
 
+#: What new books say that they were made by.
+GENERATOR = "quire"
+
+
 def guess(file_name: str) -> str:
     ext = "." + file_name.rpartition("/")[2].rpartition(".")[2].lower()
     return C.MEDIA_TYPES.get(ext, C.DEFAULT_MEDIA_TYPE)
@@ -100,6 +104,7 @@ class Book:
         self.templates: dict[str, bytes] = {}
         self._counts: dict[str, int] = {}
         self._authors = 0
+        self.add_metadata("OPF", "generator", "", {"name": "generator", "content": GENERATOR})
         self.set_identifier(self.uid)
         if title:
             self.set_title(title)
@@ -127,7 +132,6 @@ class Book:
 
     def set_language(self, lang: str) -> None:
         self.language = lang
-        self.metadata = [m for m in self.metadata if m[1] != "language"]
         self.add_metadata("DC", "language", lang)
 
     def set_direction(self, direction: str | None) -> None:
@@ -139,7 +143,7 @@ class Book:
             self._authors += 1
         self.add_metadata("DC", "creator", author, {"id": uid})
         if file_as:
-            self.add_metadata(None, "meta", file_as, {"refines": f"#{uid}", "property": "file-as"})
+            self.add_metadata(None, "meta", file_as, {"refines": f"#{uid}", "property": "file-as", "scheme": "marc:relators"})
         if role:
             self.add_metadata(None, "meta", role, {"refines": f"#{uid}", "property": "role", "scheme": "marc:relators"})
 
@@ -198,7 +202,7 @@ class Book:
             spine.append((b, len(spine), ref.id if isinstance(ref, Item) else ref, linear))
         guide = [(b, n, g.get("href"), g.get("title"), g.get("type"), g["item"].id if g.get("item") else None) for n, g in enumerate(self.guide)]
         return {
-            "books": [(b, "3.0", self.identifier_id, self.uid, self.title, self.language, self.direction, self.folder, self.prefixes, self.namespaces, None, None)],
+            "books": [(b, "3.0", self.identifier_id, self.uid, self.title, self.language, self.direction, self.folder, self.prefixes, self.namespaces, self.templates, None, None)],
             "metadata": [(b, n, ns, name, value, list(others.items())) for n, (ns, name, value, others) in enumerate(self.metadata)],
             "items": [(b, n, i.kind, i.id, i.file_name, i.media_type, i.is_linear, i.manifest, i.title, i.lang, i.direction, i.media_overlay, i.media_duration, i.properties, i.metas, i.links, i.content) for n, i in enumerate(self.items)],
             "spine": spine, "toc": toc(self.toc), "guide": guide, "page_list": [], "bindings": [(b, n, x) for n, x in enumerate(self.bindings)],

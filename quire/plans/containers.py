@@ -26,7 +26,6 @@ def query(sql: str):
     return add
 
 
-
 def shaped(df: DataFrame, schema: str, **columns) -> DataFrame:
     """``df`` as a corpus table: the columns given, nulls (empty lists) for others."""
     from pyspark.sql.types import _parse_datatype_string
@@ -54,7 +53,7 @@ def corpus_of_pages(spark: SparkSession, sf_dir: str) -> Corpus:
         books=shaped(books, TABLES["books"], book=b, version=F.lit("3.0"), identifier_id=F.lit("uid"), uid=F.concat(F.lit("urn:"), b), title=F.concat(F.lit("Pages & <"), b, F.lit(">")), language=b, direction=F.lit("ltr"), folder=F.lit("EPUB")),
         metadata=metadata, items=items.unionByName(nav), toc=toc,
         spine=shaped(p, TABLES["spine"], book=b, pos=n, idref=F.concat(F.lit("i"), n.cast("string")), linear=F.when(n % 7 == 0, "no").otherwise("yes")),
-        guide=shaped(p.where(n % 10 == 0), TABLES["guide"], book=b, pos=n, href=F.col("name"), title=title, type=F.lit("text")),
+        guide=shaped(p, TABLES["guide"], book=b, pos=n, href=F.col("name"), title=title, type=F.lit("text")),
         page_list=spark.createDataFrame([], TABLES["page_list"]), bindings=spark.createDataFrame([], TABLES["bindings"]),
     )
 
@@ -101,7 +100,7 @@ def container_spine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, sf_dir).spine.select(_book(), F.col("pos").cast("long").alias("pos"), "idref", "linear")
 
 
-@query(f"SELECT book, row_number() OVER (PARTITION BY book ORDER BY pos) - 1 AS pos, 'p' || pos || '.xhtml' AS href, 'text' AS type FROM {PAGES_SQL} WHERE pos % 10 = 0")
+@query(f"SELECT book, row_number() OVER (PARTITION BY book ORDER BY pos) - 1 AS pos, 'p' || pos || '.xhtml' AS href, 'text' AS type FROM {PAGES_SQL} ")
 def container_guide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, sf_dir).guide.select(_book(), F.col("pos").cast("long").alias("pos"), "href", "type")
 
@@ -112,7 +111,7 @@ def _turns(spark: SparkSession, sf_dir: str, content: F.Column) -> DataFrame:
     return shaped(c, TABLES["items"], book=F.col("conv_id").cast("string"), pos=F.col("turn"), kind=F.lit("html"), id=at, file_name=F.concat(at, F.lit(".xhtml")), properties=F.array().cast("array<string>"), content=F.encode(content, "UTF-8"))
 
 
-@query("""SELECT conv_id::VARCHAR AS book, turn::INT AS pos, CASE turn % 4 WHEN 0 THEN '../c' || turn || '.xhtml#r' WHEN 1 THEN 'c' || turn || '.xhtml' WHEN 2 THEN 'http://x/c' || turn ELSE '#InsertNoteID_' || turn END AS href,
+@query("""SELECT conv_id::VARCHAR AS book, turn::INT AS pos, CASE turn % 4 WHEN 0 THEN '../c' || turn || '/.xhtml#r' WHEN 1 THEN 'c' || turn || '.xhtml' WHEN 2 THEN 'http://x/c' || turn ELSE '#InsertNoteID_' || turn END AS href,
 CASE WHEN turn % 4 < 2 THEN 'n' || turn END AS id FROM conversations""")
 def exact_link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of whole documents rewritten on the tree."""

@@ -10,6 +10,7 @@ from ..functions import html as H
 from ..functions import items as I
 from ..functions import paths as P
 from ..operators import catalogue as K
+from ..operators import documents as D
 from ..operators import navigation as N
 from .tables import ITEMS_SQL, PAGES_SQL, TREE_SQL, items, pages, read, tree
 
@@ -149,7 +150,7 @@ def author_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT book, seq, 0 AS k, author AS value, 'id=' || id AS attrs FROM {_AUTHORS}
-UNION ALL SELECT book, seq, 1, file_as, 'refines=#' || id || ';property=file-as' FROM {_AUTHORS} WHERE file_as IS NOT NULL
+UNION ALL SELECT book, seq, 1, file_as, 'refines=#' || id || ';property=file-as;scheme=marc:relators' FROM {_AUTHORS} WHERE file_as IS NOT NULL
 UNION ALL SELECT book, seq, 2, role, 'refines=#' || id || ';property=role;scheme=marc:relators' FROM {_AUTHORS} WHERE role IS NOT NULL""")
 def author_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = K.author_metadata(_authors(spark, sf_dir))
@@ -172,7 +173,7 @@ def spine_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toc_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
     nodes = t.select("book", F.col("uid").alias("id"), F.when(F.size("parent_path") > 0, F.concat(F.lit("n"), F.element_at("parent_path", -1).cast("string"))).alias("parent"), F.element_at("path", -1).alias("ord"))
-    return N.walk(spark, nodes).select("book", F.col("id").alias("uid"), "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
+    return N.walk(nodes).select("book", F.col("id").alias("uid"), "depth", F.array_join(F.transform("path", lambda x: x.cast("string")), ".").alias("path"))
 
 
 @query(f"SELECT book, uid, (row_number() OVER (PARTITION BY book ORDER BY path))::INT AS play_order FROM {TREE_SQL}")
@@ -202,7 +203,7 @@ def nav_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""SELECT pos, n::INT AS n, h AS href, CASE WHEN regexp_matches(h, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN h WHEN p = '' THEN h ELSE p || '.xhtml' || f END AS rewritten FROM (
- SELECT pos, n, h, regexp_extract(h, '(#.*)$', 1) AS f, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '#.*$', ''), '\\?.*$', ''), '^//[^/]*', ''), '([^/])/+$', '\\1') AS p
+ SELECT pos, n, h, regexp_extract(h, '(#.*)$', 1) AS f, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '#.*$', ''), '\\?.*$', ''), '^//[^/]*', ''), ';[^/]*$', '') AS p
  FROM (SELECT pos, n, {_HREF} || ['', '/', '?q=1#x', '#frag', '/#ref'][n % 5 + 1] AS h FROM {_ANCHORS}))""")
 def link_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = pages(spark, sf_dir).select("pos", F.posexplode(H.nav_links("html")).alias("n", "a"))
@@ -390,12 +391,14 @@ def content_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "pages").select("page_id", F.decode(I.content(stored, b"none"), "UTF-8").alias("content"))
 
 
-@query("SELECT event_id, array_to_string(list_filter([CASE WHEN event_id % 2 = 0 THEN 'href=' || event_id END, CASE WHEN event_id % 3 = 0 THEN 'id=' || user_id END], lambda x: x IS NOT NULL), ';') AS attrs FROM events")
+@query("""SELECT event_id, array_to_string(list_sort(list_filter([CASE WHEN event_id % 2 = 0 THEN 'href=' || event_id END, CASE WHEN event_id % 3 = 0 THEN 'id=' || user_id END, CASE WHEN event_id % 5 = 0 THEN 'xmlns:x=' || user_id WHEN event_id % 5 <> 1 THEN 'style=s' END], lambda x: x IS NOT NULL)), ';') AS attrs FROM events""")
 def attribute_whitelist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a link may keep of a map of attributes."""
     e, i = read(spark, sf_dir, "events"), F.col("event_id")
-    attrs = F.map_filter(F.create_map(F.when(i % 2 == 0, "href").otherwise("onclick"), i.cast("string"), F.when(i % 3 == 0, "id").otherwise("style"), F.col("user_id").cast("string")), lambda k, v: k.isin("href", "id"))
-    own = F.array(*[F.when(attrs[n].isNotNull(), F.concat(F.lit(f"{n}="), attrs[n])) for n in ("href", "id")])
-    return e.select("event_id", F.array_join(F.filter(own, lambda x: x.isNotNull()), ";").alias("attrs"))
+    user = F.col("user_id").cast("string")
+    attrs = F.create_map(F.when(i % 2 == 0, "href").otherwise("onclick"), i.cast("string"), F.when(i % 3 == 0, "id").otherwise("src"), user, F.when(i % 5 == 0, "xmlns:x").when(i % 5 == 1, "border").otherwise("style"), F.when(i % 5 == 0, user).otherwise("s"))
+    kept = F.transform(F.map_entries(D.allowed_attributes(attrs, "a")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return e.select("event_id", F.array_join(F.array_sort(kept), ";").alias("attrs"))
 
 
 _COVER = f"(SELECT book, max(pos) + 1 AS p FROM {ITEMS_SQL} GROUP BY 1)"
@@ -414,7 +417,7 @@ def cover_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH i AS (SELECT book, pos, 'chapter_' || (row_number() OVER (PARTITION BY book ORDER BY pos) - 1) AS id, {_H1} AS heading FROM {PAGES_SQL}),
 l AS (SELECT pos, count(*)::BIGINT AS n_links, arg_min({_HREF}, n) AS h FROM {_ANCHORS} GROUP BY 1)
-SELECT i.book, i.pos, id, heading, coalesce(n_links, 0)::INT AS n_links, CASE WHEN h IS NULL THEN NULL WHEN regexp_replace(h, '([^/])/+$', '\\1') = '' THEN h ELSE regexp_replace(h, '([^/])/+$', '\\1') || '.xhtml' END AS first_link FROM i LEFT JOIN l USING (pos)""")
+SELECT i.book, i.pos, id, heading, coalesce(n_links, 0)::INT AS n_links, CASE WHEN h IS NULL THEN NULL WHEN h = '' THEN h ELSE h || '.xhtml' END AS first_link FROM i LEFT JOIN l USING (pos)""")
 def page_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: pages as a book's documents with their id, heading, number of navigation links and first link rewritten."""
     src = K.auto_ids(pages(spark, sf_dir).select("book", "pos", F.lit("html").alias("kind"), F.lit(None).cast("string").alias("id"), "html"))

@@ -1,6 +1,6 @@
 """Table schemas of a corpus. Lists that have an order carry it as ``pos`` or ``seq``."""
 
-BOOKS = "book string, version string, identifier_id string, uid string, title string, language string, direction string, folder string, prefixes array<string>, namespaces map<string,string>, error_code int, error string"
+BOOKS = "book string, version string, identifier_id string, uid string, title string, language string, direction string, folder string, prefixes array<string>, namespaces map<string,string>, templates map<string,binary>, error_code int, error string"
 METADATA = "book string, seq int, ns string, name string, value string, attrs array<struct<k:string,v:string>>"
 ITEMS = "book string, pos int, kind string, id string, file_name string, media_type string, is_linear boolean, manifest boolean, title string, lang string, direction string, media_overlay string, media_duration string, properties array<string>, metas array<map<string,string>>, links array<map<string,string>>, content binary"
 SPINE = "book string, pos int, idref string, linear string"

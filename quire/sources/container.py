@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import io
 import os
 import posixpath
@@ -25,13 +26,61 @@ class BookError(Exception):
         self.code, self.said = code, said
 
 
+_MARKUP = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|$)|<\?.*?(?:\?>|$)|<![^>]*>?|</\s*(?P<end>[^\s<>/]+)[^<>]*>?|<(?P<start>[A-Za-z_][^\s<>/="']*)(?P<attrs>(?:[^<>"']|"[^"]*"|'[^']*')*?)(?P<empty>/?)>""", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
+
+
+def recover_xml(text: str) -> ET.Element:
+    """The tree of broken XML: open elements end where their parent does, stray end tags and what follows the root are dropped, stray marks are text, unquoted and empty attributes count."""
+    root, stack, spaces, at = None, [], [{"xml": NS["XML"]}], 0
+
+    def named(name: str, scope: dict, plain: str | None) -> str:
+        prefix, colon, local = name.partition(":")
+        uri = scope.get(prefix) if colon else plain
+        return f"{{{uri}}}{local if colon else name}" if uri else name
+
+    def put(data: str) -> None:
+        if stack and data:
+            e = stack[-1][1]
+            if len(e):
+                e[-1].tail = (e[-1].tail or "") + data
+            else:
+                e.text = (e.text or "") + data
+
+    for m in _MARKUP.finditer(text):
+        put(html.unescape(text[at : m.start()]))
+        at = m.end()
+        if m["cdata"] is not None:
+            put(m["cdata"])
+        elif m["end"]:
+            depth = next((d for d in range(len(stack) - 1, -1, -1) if stack[d][0] == m["end"]), None)
+            if depth is not None:
+                del stack[depth:], spaces[depth + 1 :]
+                if not stack:
+                    break
+        elif m["start"]:
+            given = [(k, html.unescape(a or b or c)) for k, a, b, c in _ATTRIBUTE.findall(m["attrs"])]
+            scope = spaces[-1] | {k.partition(":")[2]: v for k, v in given if k == "xmlns" or k.startswith("xmlns:")}
+            e = ET.Element(named(m["start"], scope, scope.get("")), {named(k, scope, None): v for k, v in given if k != "xmlns" and not k.startswith("xmlns:")})
+            if stack:
+                stack[-1][1].append(e)
+            elif root is None:
+                root = e
+            if not m["empty"]:
+                stack.append((m["start"], e))
+                spaces.append(scope)
+    if root is None:
+        raise ET.ParseError("no element found")
+    return root
+
+
 def parse_xml(raw: bytes) -> ET.Element:
-    """The root of an XML file; document types are dropped, so no entity of theirs expands, and unknown entities and stray ampersands are taken as text."""
+    """The root of an XML file, also of a broken one; document types are dropped, so no entity of theirs expands."""
     text = re.sub(rb"<!DOCTYPE[^>\[]*(\[.*?\]\s*)?>", b"", raw, count=1, flags=re.S).lstrip(b"\xef\xbb\xbf \t\r\n")
     try:
         return ET.fromstring(text)
     except ET.ParseError:
-        return ET.fromstring(re.sub(rb"&(?!(?:amp|lt|gt|quot|apos|#\d+|#x[0-9A-Fa-f]+);)", b"&amp;", text))
+        return recover_xml(text.decode("utf-8", "replace"))
 
 
 def archive_reader(raw: bytes) -> Callable[[str], bytes]:
@@ -44,14 +93,17 @@ def archive_reader(raw: bytes) -> Callable[[str], bytes]:
     return lambda name: z.read(posixpath.normpath(name))
 
 
-def folder_reader(folder: str) -> Callable[[str], bytes]:
-    """Reads files of an unpacked book; names that lead out of its folder are refused."""
-    top = os.path.realpath(folder)
+def folder_reader(folder: str, fs=None) -> Callable[[str], bytes]:
+    """Reads files of an unpacked book, of the local file system or of ``fs``; names that lead out of its folder are refused."""
+    top = os.path.realpath(folder) if fs is None else folder.rstrip("/")
 
     def read(name: str) -> bytes:
-        path = os.path.realpath(os.path.join(top, name))
-        if path != top and not path.startswith(top + os.sep):
+        path = os.path.realpath(os.path.join(top, name)) if fs is None else posixpath.normpath(posixpath.join(top, name))
+        if path != top and not path.startswith(top + "/"):
             raise OSError(f"{name!r} escapes the book's folder")
+        if fs is not None:
+            with fs.open_input_file(path) as f:
+                return f.read()
         with open(path, "rb") as f:
             return f.read()
 
@@ -202,11 +254,11 @@ def read_tables(book: str, read: Callable[[str], bytes], ignore_ncx: bool = True
     guide = [(book, n, e.get("href"), e.get("title"), e.get("type"), None) for n, e in enumerate(part("guide") if part("guide") is not None else ())]
     bindings = [(book, n, dict(e.items())) for n, e in enumerate(part("bindings") if part("bindings") is not None else ())]
     title, language = dc("title"), dc("language")
-    row = (book, root.get("version"), identifier, uid[-1] if uid else None, title[0][0] if title else "", language[0][0] if language else "en", found.get("page-progression-direction"), base, [], {}, None, None)
+    row = (book, root.get("version"), identifier, uid[-1] if uid else None, title[0][0] if title else "", language[0][0] if language else "en", found.get("page-progression-direction"), base, [], {}, {}, None, None)
     return {"books": [row], "metadata": metadata, "items": items, "spine": spine, "toc": _toc_rows(book, toc), "guide": guide, "page_list": pages, "bindings": bindings}
 
 
 def failed(book: str, e: Exception) -> dict[str, list[tuple]]:
     """The tables of a book that can't be read: its row says why."""
     code = e.code if isinstance(e, BookError) else -1
-    return {"books": [(book, None, None, None, None, None, None, None, None, None, code, str(e) or type(e).__name__)]}
+    return {"books": [(book, None, None, None, None, None, None, None, None, None, None, code, str(e) or type(e).__name__)]}

@@ -1,8 +1,12 @@
 """Books as DataFrames.
 
 ``read_corpus`` scans containers through Spark's binary files, on any file system that Spark reads; ``format("epub")``
-(after ``register``) is the same as a data source, for single tables, folders of unpacked books and writing.
+(after ``register``) is the same as a data source, for single tables, folders of unpacked books and writing; it lists and reads any file system that pyarrow opens.
 A container isn't splittable: one is read by one task.
+
+Containers are opened once for all tables where tables are kept: ``Corpus.save``, ``Corpus.staged`` and the incremental ingest parse each file once, into
+rows tagged with their table, which are then split. A table that is read on its own parses for itself, and only ``items`` inflates the
+documents, if ``content`` is asked for.
 """
 
 from __future__ import annotations
@@ -12,12 +16,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from ..constants import CONTAINER_PATH
 from ..schemas import TABLES
+from ..workdir import new_path, written
 from .container import BookError, archive_reader, failed, folder_reader, read_tables
 
 
@@ -53,6 +60,10 @@ class Corpus:
     guide: DataFrame
     page_list: DataFrame
     bindings: DataFrame
+    #: The containers that the tables were read from, how, and the tables as they were then: one that was changed since isn't read again.
+    files: DataFrame | None = None
+    options: tuple = ()
+    read: tuple = ()
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: getattr(self, t) for t in TABLES}
@@ -62,9 +73,15 @@ class Corpus:
         for name, df in self.tables().items():
             df.createOrReplaceTempView(prefix + name)
 
+    def staged(self) -> Corpus:
+        """The same tables, each container opened once and all rows kept in the shared folder."""
+        if self.files is None or any(a is not b for a, b in zip(self.read, self.tables().values(), strict=True)):
+            return Corpus(**{t: written(df, t) for t, df in self.tables().items()})
+        return parse_once(self.files, *self.options)
+
     def save(self, path: str) -> None:
-        """Write all tables as Parquet, so that later queries prune columns and don't open containers again."""
-        for name, df in self.tables().items():
+        """Write all tables as Parquet, so that later queries prune columns and don't open containers again. Each container is opened once."""
+        for name, df in (self.staged() if self.files is not None else self).tables().items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
@@ -88,16 +105,52 @@ def parse_containers(files: DataFrame, table: str, ignore_ncx: bool = True, cont
     return files.select("book", "content").mapInArrow(run, TABLES[table])
 
 
-def read_corpus(spark: SparkSession, path: str | list[str], ignore_ncx: bool = True, mode: str = "PERMISSIVE", pattern: str = "*.epub") -> Corpus:
-    """All tables of the containers below ``path``. In PERMISSIVE mode a book that can't be read is a row of ``books`` with its error; in FAILFAST it ends the query."""
+def parse_once(files: DataFrame, ignore_ncx: bool = True, content: bool = True, fail_fast: bool = False) -> Corpus:
+    """All tables of the containers in ``files`` by one pass over them: rows tagged with their table are written to the shared folder, and each table reads its own."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    tagged = StructType().add("table", "string")
+    for t, schema in TABLES.items():
+        tagged = tagged.add(t, _parse_datatype_string(schema))
+    arrow, each = to_arrow_schema(tagged), {t: _arrow(schema) for t, schema in TABLES.items()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for book, raw in zip(batch.column(0), batch.column(1), strict=True):
+                for t, rows in tables_of(book.as_py(), raw.as_py(), ignore_ncx, content, fail_fast).items():
+                    if rows:
+                        own = _batch(each[t], rows)
+                        made = pa.StructArray.from_arrays(own.columns, fields=list(own.schema))
+                        cells = [pa.array([t] * len(rows)) if f.name == "table" else made.cast(f.type) if f.name == t else pa.nulls(len(rows), f.type) for f in arrow]
+                        yield pa.RecordBatch.from_arrays(cells, schema=arrow)
+
+    spark = files.sparkSession
+    path = new_path(spark, "parsed")
+    files.select("book", "content").mapInArrow(run, tagged).write.partitionBy("table").parquet(path)
+    read = lambda t: spark.read.schema(StructType([tagged[t], tagged["table"]])).parquet(path).where(F.col("table") == t).select(f"{t}.*")
+    return Corpus(**{t: read(t) for t in TABLES})
+
+
+def containers(spark: SparkSession, path: str | list[str], pattern: str = "*.epub", where: str | None = None) -> DataFrame:
+    """book, content of the containers below ``path``; ``where`` is SQL over path, length and modificationTime, of which Spark's scan takes what it can (length and time) before files are opened."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    files = files.select(F.regexp_replace("path", "^file:/+", "/").alias("book"), "content")
-    fast = mode.upper() == "FAILFAST"
-    return Corpus(**{t: parse_containers(files, t, ignore_ncx, True, fast) for t in TABLES})
+    files = files.where(where) if where else files
+    return files.select(F.regexp_replace("path", "^file:/+", "/").alias("book"), "content")
+
+
+def read_corpus(spark: SparkSession, path: str | list[str], ignore_ncx: bool = True, mode: str = "PERMISSIVE", pattern: str = "*.epub", content: bool = True, where: str | None = None) -> Corpus:
+    """All tables of the containers below ``path``, by ``containers``. In PERMISSIVE mode a book that can't be read is a row of ``books`` with its error; in FAILFAST it ends the query.
+
+    Without ``content`` the items' bytes are null and no document is inflated but those that tables are read from.
+    """
+    files, fast = containers(spark, path, pattern, where), mode.upper() == "FAILFAST"
+    tables = {t: parse_containers(files, t, ignore_ncx, content, fast) for t in TABLES}
+    return Corpus(**tables, files=files, options=(ignore_ncx, content, fast), read=tuple(tables.values()))
 
 
 class EpubDataSource(DataSource):
-    """``spark.read.format("epub")``; options: path, table (items), ignore_ncx (true), content (true), mode (PERMISSIVE)."""
+    """``spark.read.format("epub")``; options: path, table (items), ignore_ncx (true), content (true), mode (PERMISSIVE), and pushdown (false; books
+    asked for by name alone are opened, where spark.sql.python.filterPushdown.enabled is set)."""
 
     @classmethod
     def name(cls) -> str:
@@ -107,51 +160,95 @@ class EpubDataSource(DataSource):
         return TABLES[self.options.get("table", "items")]
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(dict(self.options), schema)
+        options = dict(self.options)
+        return (_PushingReader if str(options.get("pushdown", "")).lower() == "true" else _Reader)(options, schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options), schema, overwrite)
 
 
 @dataclass
-class _Book(InputPartition):
-    path: str
+class _Books(InputPartition):
+    paths: list
+
+
+#: Bytes of containers that a partition of the data source reads, and what a file counts beside its bytes.
+PARTITION_BYTES = 64 << 20
+FILE_BYTES = 1 << 20
+
+
+def _file_system(path: str) -> tuple[pafs.FileSystem, str, str]:
+    """The file system of a path or URI, its path there, and what goes before such paths to name them."""
+    if "://" not in path:
+        return pafs.LocalFileSystem(), os.path.abspath(path), ""
+    fs, inner = pafs.FileSystem.from_uri(path)
+    return fs, inner, "" if isinstance(fs, pafs.LocalFileSystem) else path[: path.index("://") + 3] + (path.split("/")[2] if path.startswith("hdfs://") else "")
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.options, self.schema = {k.lower(): v for k, v in options.items()}, _arrow(schema)
+        self.only: set | None = None
 
     def partitions(self) -> list[InputPartition]:
-        path = self.options["path"]
-        path = path.removeprefix("file://")
-        if os.path.isfile(path) or os.path.isfile(f"{path}/META-INF/container.xml"):
-            return [_Book(path)]
-        found = []
-        for d, folders, names in os.walk(path):
-            if "META-INF" in folders:
-                found.append(_Book(d))
-                folders.clear()
+        fs, path, front = _file_system(self.options["path"])
+        top = fs.get_file_info(path)
+        if top.type == pafs.FileType.File:
+            sizes = {path: top.size}
+        else:
+            found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
+            marks = f"/{CONTAINER_PATH}"
+            folders = {i.path.removesuffix(marks): 0 for i in found if i.type == pafs.FileType.File and f"/{i.path}".endswith(marks)}
+            sizes = {i.path: i.size or 0 for i in found if i.type == pafs.FileType.File and i.path.endswith(".epub")}
+            for i in found:
+                parts = i.path.split("/")
+                for n in range(1, len(parts)):
+                    if (above := "/".join(parts[:n])) in folders:
+                        folders[above] += i.size or 0
+            sizes = {p: n for p, n in sizes.items() if not any(p.startswith(f"{f}/") for f in folders)} | folders if folders else sizes
+        out: list[_Books] = []
+        held = 0
+        for p in sorted(sizes):
+            if self.only is not None and front + p not in self.only:
                 continue
-            found += [_Book(os.path.join(d, n)) for n in names if n.endswith(".epub")]
-        return sorted(found, key=lambda b: b.path)
-
-    def read(self, partition: _Book) -> Iterator[pa.RecordBatch]:
+            if not out or held + sizes[p] + FILE_BYTES > PARTITION_BYTES:
+                out.append(_Books([]))
+                held = 0
+            out[-1].paths.append(p)
+            held += sizes[p] + FILE_BYTES
+        return out or [_Books([])]
+
+    def read(self, partition: _Books) -> Iterator[pa.RecordBatch]:
         flag = lambda k, d: str(self.options.get(k, d)).lower() == "true"
         table = self.options.get("table", "items")
-        try:
-            if os.path.isdir(partition.path):
-                read = folder_reader(partition.path)
-            else:
-                with open(partition.path, "rb") as f:
-                    read = archive_reader(f.read())
-            rows = read_tables(partition.path, read, flag("ignore_ncx", True), flag("content", True) and table == "items")
-        except (BookError, OSError, KeyError, SyntaxError) as e:
-            if str(self.options.get("mode", "")).upper() == "FAILFAST":
-                raise
-            rows = failed(partition.path, e)
-        if rows.get(table):
-            yield _batch(self.schema, rows[table])
+        fs, _, front = _file_system(self.options["path"])
+        for path in partition.paths:
+            try:
+                if fs.get_file_info(path).type == pafs.FileType.Directory:
+                    read = folder_reader(path, None if isinstance(fs, pafs.LocalFileSystem) else fs)
+                else:
+                    with fs.open_input_file(path) as f:
+                        read = archive_reader(f.read())
+                rows = read_tables(front + path, read, flag("ignore_ncx", True), flag("content", True) and table == "items")
+            except (BookError, OSError, KeyError, SyntaxError) as e:
+                if str(self.options.get("mode", "")).upper() == "FAILFAST":
+                    raise
+                rows = failed(front + path, e)
+            if rows.get(table):
+                yield _batch(self.schema, rows[table])
+
+
+class _PushingReader(_Reader):
+    """Spark refuses a reader that has this method unless the session enables it, so it is asked for by an option."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        """Books asked for by name: others aren't opened. Spark applies the filter again."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("book",):
+                self.only = {f.value} if self.only is None else self.only & {f.value}
+            elif isinstance(f, In) and f.attribute == ("book",):
+                self.only = set(f.value) if self.only is None else self.only & set(f.value)
+            yield f
 
 
 @dataclass
@@ -174,6 +271,7 @@ class _Writer(DataSourceWriter):
         files = []
         for r in rows:
             to = os.path.join(self.path, file_name(r["book"]))
+            os.makedirs(os.path.dirname(to), exist_ok=True)
             tmp = f"{to}.{uuid.uuid4().hex}.tmp"
             with open(tmp, "wb") as f:
                 f.write(r["data"])
@@ -181,11 +279,16 @@ class _Writer(DataSourceWriter):
         return _Written(files)
 
     def commit(self, messages: list) -> None:
-        done = {to for m in messages if m for _, to in m.files}
+        all_ = [to for m in messages if m for _, to in m.files]
+        done = set(all_)
+        if len(done) < len(all_):
+            self.abort(messages)
+            raise ValueError(f"books can't be written under one name: {sorted(x for x in done if all_.count(x) > 1)[:5]}")
         if self.overwrite and os.path.isdir(self.path):
-            for n in os.listdir(self.path):
-                if n.endswith(".epub") and os.path.join(self.path, n) not in done:
-                    os.remove(os.path.join(self.path, n))
+            for d, _, names in os.walk(self.path):
+                for n in names:
+                    if n.endswith(".epub") and os.path.join(d, n) not in done:
+                        os.remove(os.path.join(d, n))
         for m in messages:
             for tmp, to in m.files if m else ():
                 os.replace(tmp, to)
@@ -198,8 +301,11 @@ class _Writer(DataSourceWriter):
 
 
 def file_name(book: str) -> str:
-    """A book's file: the last part of its name, with the ending once."""
-    return os.path.basename(book.rstrip("/")).removesuffix(".epub") + ".epub"
+    """A book's file below a folder: its name with its folders, without scheme, and with the ending once."""
+    parts = [p for p in book.partition("://")[2 if "://" in book else 0].split("/") if p not in ("", ".")]
+    if ".." in parts:
+        raise ValueError(f"{book!r} leads out of the folder")
+    return "/".join(parts).removesuffix(".epub") + ".epub"
 
 
 def register(spark: SparkSession) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import os
 import posixpath
 import re
 import zipfile
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.dom import Element, document, markup
 from ..operators.documents import pages as page_marks
+from ..operators.documents import _root as new_root
 from ..operators.documents import render, render_cover
 from ..schemas import TABLES
 from .reader import Corpus, file_name
@@ -138,7 +140,7 @@ def _tree(book: dict) -> list[dict]:
 def navigation(book: dict, nav: dict, o: dict) -> bytes:
     """The navigation document: contents, landmarks and page list."""
     folder, title = posixpath.dirname(nav["file_name"]), nav["title"] or book["title"] or ""
-    root = Element("html", {"xmlns": NS["XHTML"], "xmlns:epub": NS["EPUB"], "lang": book["language"] or "en", "xml:lang": book["language"] or "en"})
+    root = new_root(book["language"] or "en", dict(book.get("templates") or {}).get("nav"))
     head = root.add("head")
     head.add("title", text=title)
     for link in nav["links"] or ():
@@ -191,8 +193,10 @@ def ncx(book: dict, o: dict) -> bytes:
             out += [start, "<navLabel>", _tag("text", {}, n["title"]), "</navLabel>", _tag("content", {"src": src}), *points(n["kids"]), "</navPoint>"]
         return out
 
+    template = dict(book.get("templates") or {}).get("ncx")
+    start = [bytes(template).decode("utf-8", "replace").rpartition("</")[0]] if template else ['<?xml version="1.0" encoding="utf-8"?>', f'<ncx xmlns="{NS["DAISY"]}" version="2005-1">']
     return "\n".join([
-        '<?xml version="1.0" encoding="utf-8"?>', f'<ncx xmlns="{NS["DAISY"]}" version="2005-1">', "<head>", _tag("meta", {"content": book["uid"] or "", "name": "dtb:uid"}), _tag("meta", {"content": "0", "name": "dtb:depth"}),
+        *start, "<head>", _tag("meta", {"content": book["uid"] or "", "name": "dtb:uid"}), _tag("meta", {"content": "0", "name": "dtb:depth"}),
         _tag("meta", {"content": "0", "name": "dtb:totalPageCount"}), _tag("meta", {"content": "0", "name": "dtb:maxPageNumber"}), "</head>",
         "<docTitle>", _tag("text", {}, book["title"]), "</docTitle>", "<navMap>", *points(_tree(book)), "</navMap>", "</ncx>",
     ]).encode()
@@ -216,6 +220,7 @@ def build(book: dict, options: dict | None = None) -> bytes:
         put("mimetype", b"application/epub+zip", stored=True)
         put(C.CONTAINER_PATH, f'<?xml version="1.0" encoding="utf-8"?>\n<container xmlns="{NS["CONTAINERNS"]}" version="1.0"><rootfiles><rootfile media-type="{C.OPF_TYPE}" full-path="{escape(at("content.opf"))}"/></rootfiles></container>'.encode())
         put(at("content.opf"), package(book, mtime, o))
+        templates = dict(book.get("templates") or {})
         cover = next((i["file_name"] for i in book["items"] if i["kind"] == "cover"), "")
         for i in book["items"]:
             match i["kind"]:
@@ -224,9 +229,9 @@ def build(book: dict, options: dict | None = None) -> bytes:
                 case "nav":
                     data = navigation(book, i, o)
                 case "html" if o["render"]:
-                    data = render(i, book["language"] or "en")
+                    data = render(i, book["language"] or "en", templates.get("chapter"))
                 case "cover_html" if o["render"] and not i["content"]:
-                    data = render_cover(cover, i["title"] or "", book["language"] or "en")
+                    data = render_cover(cover, i["title"] or "", book["language"] or "en", templates.get("cover"))
                 case _:
                     data = i["content"] or b""
             put(at(i["file_name"]) if i["manifest"] else i["file_name"], data)
@@ -259,7 +264,7 @@ def pack(corpus: Corpus, options: dict | None = None) -> DataFrame:
             i["links"], i["metas"] = [dict(x) for x in i["links"] or ()], [dict(x) for x in i["metas"] or ()]
         for b in r["bindings"]:
             b["attrs"] = dict(b["attrs"] or {})
-        r["namespaces"] = dict(r["namespaces"] or {})
+        r["namespaces"], r["templates"] = dict(r["namespaces"] or {}), dict(r["templates"] or {})
         return r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,9 +276,25 @@ def pack(corpus: Corpus, options: dict | None = None) -> DataFrame:
     return nested(corpus).mapInArrow(run, "book string, data binary")
 
 
-def write_corpus(corpus: Corpus, path: str, options: dict | None = None) -> list[str]:
-    """Write every book of ``corpus`` below ``path`` (a URI that pyarrow opens on the executors); returns the files' names. A file is moved into place whole."""
-    packed = pack(corpus, options)
+def file_names(corpus: Corpus) -> DataFrame:
+    """book, file: where each book goes below a folder. Names keep their folders, but for those that all books share; two books that would be one file are an error."""
+    name = F.concat(F.regexp_replace(F.regexp_replace(F.regexp_replace("book", "^[A-Za-z][A-Za-z0-9+.-]*:/*", ""), "^/+|/+$", ""), r"\.epub$", ""), F.lit(".epub"))
+    books = corpus.books.where("error_code IS NULL").select("book", name.alias("file"))
+    ends = books.agg(F.min("file").alias("a"), F.max("file").alias("b")).first()
+    shared = os.path.commonprefix([ends["a"] or "", ends["b"] or ""]).rpartition("/")[0]
+    books = books.withColumn("file", F.substr("file", F.lit(len(shared) + 2 if shared else 1)))
+    wrong = books.groupBy("file").agg(F.count("*").alias("n"), F.min("book").alias("book")).where(F.expr("n > 1 OR concat('/', file, '/') LIKE '%/../%'")).limit(5).collect()
+    if wrong:
+        raise ValueError("books can't be written under one name, or outside of the folder: " + ", ".join(f"{r['file']} ({r['n']} of {r['book']})" for r in wrong))
+    return books
+
+
+def write_corpus(corpus: Corpus, path: str, options: dict | None = None) -> int:
+    """Write every book of ``corpus`` below ``path`` (a URI that pyarrow opens on the executors); returns how many.
+
+    A file is written under a name of its attempt and moved into place whole, so a task that runs again, or twice, leaves the same file.
+    """
+    packed = pack(corpus, options).join(file_names(corpus), "book").select("file", "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -281,19 +302,49 @@ def write_corpus(corpus: Corpus, path: str, options: dict | None = None) -> list
         from pyarrow import fs as pafs
 
         fs, folder = pafs.FileSystem.from_uri(path)
-        fs.create_dir(folder, recursive=True)
+        done = 0
         for batch in batches:
-            done = []
-            for r in batch.to_pylist():
-                to = f"{folder}/{file_name(r['book'])}"
+            for name, data in zip(batch.column(0), batch.column(1), strict=True):
+                to = f"{folder}/{name.as_py()}"
+                fs.create_dir(posixpath.dirname(to), recursive=True)
                 tmp = f"{to}.{uuid.uuid4().hex}.tmp"
                 with fs.open_output_stream(tmp) as f:
-                    f.write(r["data"])
-                fs.move(tmp, to)
-                done.append(file_name(r["book"]))
-            yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["file"])
+                    f.write(data.as_buffer())
+                try:
+                    fs.move(tmp, to)
+                except OSError:  # some file systems don't move onto a file: an earlier attempt's is the same
+                    if not fs.get_file_info(to).size:
+                        raise
+                    fs.delete_file(tmp)
+                done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
 
-    return sorted(r["file"] for r in packed.mapInArrow(run, "file string").collect())
+    return packed.mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
 
 
-__all__ = ["OPTIONS", "build", "entry_time", "guide_entries", "markup", "modified", "navigation", "ncx", "nested", "pack", "package", "relative", "write_corpus"]
+def unpack(packed: DataFrame, path: str) -> int:
+    """Write containers (book, data) as folders of files below ``path``, as unpacked books are; returns how many files. Entries that lead out of their folder are an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pafs
+
+        fs, folder = pafs.FileSystem.from_uri(path)
+        done = 0
+        for batch in batches:
+            for book, data in zip(batch.column(0), batch.column(1), strict=True):
+                top = f"{folder}/{file_name(book.as_py()).removesuffix('.epub')}"
+                with zipfile.ZipFile(io.BytesIO(data.as_py())) as z:
+                    for entry in z.namelist():
+                        to = posixpath.normpath(f"{top}/{entry}")
+                        if not to.startswith(f"{top}/"):
+                            raise OSError(f"{entry!r} escapes the book's folder")
+                        fs.create_dir(posixpath.dirname(to), recursive=True)
+                        with fs.open_output_stream(to) as f:
+                            f.write(z.read(entry))
+                        done += 1
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    return packed.select("book", "data").mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+
+
+__all__ = ["OPTIONS", "build", "entry_time", "file_names", "guide_entries", "markup", "modified", "navigation", "ncx", "nested", "pack", "package", "relative", "unpack", "write_corpus"]

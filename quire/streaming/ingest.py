@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..schemas import TABLES
-from ..sources.reader import parse_containers
+from ..sources.reader import parse_once
 
 
 def arriving(spark: SparkSession, folder: str, pattern: str = "*.epub", max_files: int = 1000) -> DataFrame:
@@ -25,10 +25,9 @@ def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, table
     """Append the tables of arriving containers below ``target``, one batch of files at a time."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        files = batch.persist()  # a file is read once for all tables
+        parsed = parse_once(batch).tables()  # a file is read and opened once for all tables
         for t in tables:
-            parse_containers(files, t).write.mode("overwrite").parquet(f"{target}/{t}/batch={epoch}")  # a batch that runs again replaces itself
-        files.unpersist()
+            parsed[t].write.mode("overwrite").parquet(f"{target}/{t}/batch={epoch}")  # a batch that runs again replaces itself
 
     out = arriving(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()

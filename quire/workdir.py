@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -27,3 +27,10 @@ def new_path(spark: SparkSession, name: str) -> str:
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
     to.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(to)
     return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of the shared folder, read back: its lineage ends there."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

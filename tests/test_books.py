@@ -52,7 +52,7 @@ def as_dicts(book: Book) -> dict:
 @pytest.mark.parametrize("ncx", [True, False])
 def test_round_trip_of_a_book(spark, tmp_path, ncx):
     made = corpus(spark, [basic(ncx)])
-    assert writer.write_corpus(made, f"file://{tmp_path}", {"mtime": MTIME}) == ["basic.epub"]
+    assert writer.write_corpus(made, f"file://{tmp_path}", {"mtime": MTIME}) == 1 and [p.name for p in tmp_path.iterdir()] == ["basic.epub"]
     with zipfile.ZipFile(tmp_path / "basic.epub") as z:
         first = z.infolist()[0]
         assert (first.filename, first.compress_type) == ("mimetype", zipfile.ZIP_STORED)
@@ -249,3 +249,116 @@ def test_incremental_ingest(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         ingest(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state", ("items", "spine")).awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/items").count() == 7 and spark.read.parquet(f"{tmp_path}/out/spine").count() == 3
+
+
+def test_names_keep_their_folders(spark, tmp_path):
+    """Books of one name in different folders are all written, by either writer; two that would be one file are refused."""
+    made = corpus(spark, [basic()])
+    both = lambda *names: reader.Corpus(**{t: __import__("functools").reduce(lambda a, b: a.unionByName(b), [df.withColumn("book", F.lit(n)) for n in names]) for t, df in made.tables().items()})
+    two = both("file:///lib/a/x.epub", "/lib/b/x.epub")
+    assert writer.write_corpus(two, f"file://{tmp_path}/out", {"mtime": MTIME}) == 2
+    assert sorted(p.relative_to(tmp_path / "out").as_posix() for p in (tmp_path / "out").rglob("*.epub")) == ["a/x.epub", "b/x.epub"]
+    assert reader.read_corpus(spark, f"{tmp_path}/out").books.count() == 2
+    assert writer.write_corpus(two, f"file://{tmp_path}/out", {"mtime": MTIME}) == 2  # again, onto the same files
+    with pytest.raises(ValueError, match="one name"):
+        writer.write_corpus(both("/a/x.epub", "/a/x"), f"file://{tmp_path}/no", {"mtime": MTIME})
+    with pytest.raises(ValueError, match="outside"):
+        writer.write_corpus(both("a/../../x", "b"), f"file://{tmp_path}/no", {"mtime": MTIME})
+    reader.register(spark)
+    writer.pack(two, {"mtime": MTIME}).write.format("epub").mode("append").save(str(tmp_path / "sink"))
+    assert sorted(p.relative_to(tmp_path / "sink").as_posix() for p in (tmp_path / "sink").rglob("*.epub")) == ["lib/a/x.epub", "lib/b/x.epub"]
+
+
+def test_saving_opens_each_container_once(spark, tmp_path):
+    writer.write_corpus(corpus(spark, [basic()]), f"file://{tmp_path}/in", {"mtime": MTIME})
+    got = reader.read_corpus(spark, f"{tmp_path}/in")
+    got.save(f"{tmp_path}/tables")
+    again = reader.load_corpus(spark, f"{tmp_path}/tables")
+    for t, df in got.tables().items():
+        assert sorted(map(repr, getattr(again, t).collect())) == sorted(map(repr, df.collect())), t
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan(got.staged().items) and "content" not in plan(got.staged().items.select("book", "id")).split("ReadSchema")[1]
+    renamed = __import__("dataclasses").replace(got, books=got.books.withColumn("title", F.lit("new")))
+    assert renamed.staged().books.first().title == "new"
+    assert reader.read_corpus(spark, f"{tmp_path}/in", content=False).items.where("content IS NOT NULL").count() == 0
+    assert "PushedFilters: [LessThan(length,10)]" in plan(reader.containers(spark, f"{tmp_path}/in", where="length < 10")).replace("IsNotNull(length), ", "")
+
+
+def test_data_source_packs_books_and_takes_filters(spark, tmp_path, monkeypatch):
+    many = [basic() for _ in range(5)]
+    for n, b in enumerate(many):
+        b.name = f"d{n}/book"
+    writer.write_corpus(corpus(spark, many), f"file://{tmp_path}", {"mtime": MTIME})
+    reader.register(spark)
+    src = spark.read.format("epub").option("table", "books")
+    assert src.load(str(tmp_path)).count() == 5 and src.load(f"file://{tmp_path}").rdd.getNumPartitions() == 1
+    own = reader._PushingReader({"path": str(tmp_path)}, src.load(str(tmp_path)).schema)
+    monkeypatch.setattr(reader, "PARTITION_BYTES", 2 * reader.FILE_BYTES)
+    assert [len(p.paths) for p in own.partitions()] == [1] * 5
+    list(own.pushFilters([reader.EqualTo(("book",), f"{tmp_path}/d3/book.epub")]))
+    assert [p.paths for p in own.partitions()] == [[f"{tmp_path}/d3/book.epub"]]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        assert src.option("pushdown", "true").load(str(tmp_path)).where(F.col("book") == f"{tmp_path}/d3/book.epub").count() == 1
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_broken_xml_is_recovered():
+    from quire.sources.container import parse_xml
+
+    root = parse_xml(b'<?xml version="1.0"?><a xmlns="u" xmlns:p="v"><b x=1 p:y=\'2\'>t & u < w<c/><![CDATA[<raw>]]></stray><d>open</a>rest')
+    assert root.tag == "{u}a" and [e.tag for e in root.iter()] == ["{u}a", "{u}b", "{u}c", "{u}d"]
+    assert root[0].attrib == {"x": "1", "{v}y": "2"} and root[0].text == "t & u < w" and root[0][0].tail == "<raw>" and root[0][1].text == "open"
+    assert parse_xml(b"<a>&amp;&eacute;&nope;</a>").text == "&é&nope;"
+    assert parse_xml(b'<!DOCTYPE a [<!ENTITY e "x">]><a>&e;</a>').text == "&e;"
+    with pytest.raises(SyntaxError):
+        parse_xml(b"no markup")
+
+
+def test_walks_of_any_depth(spark):
+    from quire.operators.navigation import walk
+
+    chain = [("deep", f"n{k}", f"n{k - 1}" if k else None, k % 3) for k in range(300)]
+    odd = [("odd", "a", "c", 0), ("odd", "b", "a", 0), ("odd", "c", "b", 1), ("odd", "below", "a", 2), ("odd", "lost", "nowhere", 0), ("odd", "under", "lost", 0), ("odd", "self", "self", 0), ("odd", "top", None, 4), ("odd", "kid", "top", 5)]
+    rows = spark.createDataFrame(chain + odd, "book string, id string, parent string, ord int")
+    got = {(r.book, r.id): r for r in walk(rows).collect()}
+    assert len(got) == 309
+    for k in range(300):
+        assert got["deep", f"n{k}"].path == [j % 3 for j in range(k + 1)] and got["deep", f"n{k}"].depth == k + 1
+    assert {i: r.error for (b, i), r in got.items() if b == "odd"} == {"a": "cycle", "b": "cycle", "c": "cycle", "below": "cycle", "self": "cycle", "lost": "orphan", "under": "orphan", "top": None, "kid": None}
+    assert got["odd", "kid"].path == [4, 5] and got["odd", "a"].path is None and walk(rows.where("false")).count() == 0
+
+
+def test_books_are_set_up_as_before(spark):
+    """Several languages, the generator, and the scheme of a sorted name."""
+    b = Book("x", "u", language="en")
+    b.set_language("hr")
+    b.add_metadata(None, "language", "other")
+    b.add_author("First", file_as="Sorted")
+    assert b.language == "hr" and [v for v, _ in b.get_metadata("DC", "language")] == ["en", "hr"] and b.get_metadata(None, "language")
+    assert [a["name"] for _, a in b.get_metadata("OPF", "generator")] == ["generator"]
+    assert b.get_metadata(None, "meta")[-1][1] == {"refines": "#creator", "property": "file-as", "scheme": "marc:relators"}
+    b.set_template("chapter", b'<html xmlns="x" class="mine"/>')
+    b.add_item(Item("html", file_name="a.xhtml", content="<p>text</p>", title="T"))
+    _, data = rows_of(b)
+    with zipfile.ZipFile(__import__("io").BytesIO(data)) as z:
+        assert b'class="mine" lang="hr"' in z.read("EPUB/a.xhtml") and b"<p>text</p>" in z.read("EPUB/a.xhtml")
+
+
+def test_slow_tidy_leaves_content_alone(tmp_path, monkeypatch):
+    (tmp_path / "tidy").write_text("#!/bin/sh\nsleep 5\n")
+    (tmp_path / "tidy").chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:{__import__('os').environ['PATH']}")
+    monkeypatch.setattr(D, "TIDY_SECONDS", 0.2)
+    assert D.tidy(b"<p>x") == (3, b"<p>x")
+
+
+def test_arrivals_by_window(spark, tmp_path):
+    from quire.streaming.ingest import arrivals_by_window, arriving
+
+    writer.write_corpus(corpus(spark, [basic()]), f"file://{tmp_path}/in", {"mtime": MTIME})
+    counts = arrivals_by_window(arriving(spark, f"{tmp_path}/in"))
+    run = counts.writeStream.format("memory").queryName("arrivals").outputMode("complete").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    assert [r.books for r in spark.table("arrivals").collect()] == [1]
