@@ -9,10 +9,9 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..batches import runs
 from ..workdir import new_path
 
-#: Bytes of text that an Arrow map handles at a time.
-CHUNK_BYTES = 4 << 20
 #: Bytes of a row group of a working table; a task that writes holds one.
 GROUP_BYTES = 16 << 20
 
@@ -45,7 +44,7 @@ def arrow_map(
 ) -> DataFrame:
     """``rows`` over the columns of each batch, given and returned as lists or arrays by name.
 
-    A batch is handled in runs of at most CHUNK_BYTES of the column ``weigh`` (a single longer
+    A batch is handled in runs of at most RUN_BYTES of the column ``weigh`` (a single longer
     value is a run of its own), so memory doesn't follow the batch size.
     """
     ship(df.sparkSession)
@@ -64,25 +63,6 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
-def runs(batch: pa.RecordBatch, weigh: str | None, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of ``batch`` of at most ``most`` bytes of the column ``weigh``, or of one row. What a slice left behind goes back to the system before the next."""
-    if not weigh or batch.num_rows == 0:
-        if batch.num_rows:
-            yield batch
-        return
-    import pyarrow.compute as pc
-
-    sizes = pc.fill_null(pc.binary_length(batch.column(weigh)), 0).to_pylist()
-    start, held = 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and held + n > most:
-            yield batch.slice(start, i - start)
-            start, held = i, 0
-        held += n
-    yield batch.slice(start)
-    pa.default_memory_pool().release_unused()
-
-
 def free_name(name: str, taken: list[str]) -> str:
     """``name``, with underscores after it where a column has it already."""
     lower = {c.lower() for c in taken}
