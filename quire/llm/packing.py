@@ -10,13 +10,14 @@ What is collected is the histogram: at most ``capacity`` rows. What is broadcast
 most ``sqrt(2 * capacity)`` different lengths, so it has at most ``4 * capacity * sqrt(2 * capacity)`` rows of 48 bytes (25 MB at 2048, and
 some thousand rows in practice), at any number of documents.
 
-Ranks don't gather a length in one task: each length is split by a hash of the document into SALTS parts, ranked
-within the part, and offset by the counts of the parts before it.
+Ranks don't gather a length in one task: each length is split by a hash of the document and of its input partition (so that rows that
+repeat a document are split too) into SALTS parts, ranked within the part, and offset by the counts of the parts before it. The written table of pieces holds on to the parts.
 
 Free style: encoding is an Arrow map, the plan is driver code over the histogram, ranks and the join are DataFrame operations.
 
-Defined results: a null text is a document of the end id alone; rows that repeat a document are packed as often;
-a null key is packed like any other; an empty table gives no rows; other columns are ignored.
+Defined results: a null or empty text is a document of the end id alone; a very long one is cut into as many pieces as it needs (its ids are held at once); rows
+that repeat a document are packed as often; pieces of one length take its slots in the order of their parts, then of key, piece and checksum; a null key is packed like any other; an
+empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -109,18 +110,18 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[int, list[tuple[int,
 
 
 def ranked(cutted: DataFrame) -> DataFrame:
-    """``cutted`` with ``rank``, numbered from 0 within each length."""
-    own = cutted.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = own.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    """``cutted`` (with the part ``salt`` of each row) with ``rank``, numbered from 0 within each length."""
+    counts = cutted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = counts.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
-    return own.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1).drop("salt", "before", "within")
+    return cutted.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1).drop("salt", "before", "within")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Every piece of ``docs`` with the ``sequence_id`` and ``offset`` of its place."""
     spark = docs.sparkSession
-    cutted = cut(pieces(docs, tokenizer, capacity, end_id, key, text), "pieces")
+    salt = F.pmod(F.xxhash64("doc_id", "piece", F.spark_partition_id()), F.lit(SALTS)).cast("int")
+    cutted = cut(pieces(docs, tokenizer, capacity, end_id, key, text).withColumn("salt", salt), "pieces")
     histogram = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count("*").alias("n")).collect()}
     _, slots = plan(histogram, capacity)
     planned = spark.createDataFrame(slots, "length long, lo long, hi long, first long, each long, at long")
