@@ -13,7 +13,8 @@ adaptive skew splitting on the header side.
 
 Defined results: a null payload is empty; payloads under ``min_bytes`` are always responses; rows that repeat a
 page and its payload are records of one type each; a null page id refers to the smallest id of its payload where
-there is one, else is a response; a null url is written as ``urn:null``; an empty table gives an empty archive.
+there is one, else is a response; a null url is written as ``urn:null``; a payload of any length is one value of its row; of pages that tie for the smallest id
+with one payload, all are responses; other columns are ignored, whatever their names; an empty table gives an empty archive.
 """
 
 from __future__ import annotations
