@@ -851,6 +851,30 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hot_star(spark, monkeypatch):
+    """A centre that has nearly all edges, whose least neighbour is anywhere: its neighbours are dealt to many parts."""
+    from quire.llm import components as module
+
+    rng = random.Random(9)
+    ids = rng.sample(range(10**6), 2000)
+    edges = spark.createDataFrame([(500_000, x) for x in ids if x != 500_000] + [(x, x + 10**7) for x in ids[:50]], "a long, b long")
+    got = {r.node: r.root for r in components(edges).collect()}
+    assert set(got.values()) == {min([*ids, 500_000])} and len(got) == len({*ids, 500_000}) + 50
+    parts = module.with_least(edges).select("m").distinct().collect()
+    assert min(r.m for r in parts) == min(x for x in ids if x != 500_000)
+    plan = module.with_least(edges)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "hashpartitioning(a#" in plan
+
+
+def test_packing_splits_repeated_rows(spark):
+    rows_ = [(1, "one two three")] * 300 + [(2, "four")] * 5
+    got = packing.pack(spark.createDataFrame(rows_, "doc_id long, text string").repartition(6), BPE, 16).toPandas()
+    assert len(got) == 305 and got.groupby(["sequence_id", "offset"]).size().max() == 1
+    for _, g in got.sort_values("offset").groupby("sequence_id"):
+        assert (g.offset == g.length.cumsum() - g.length).all() and g.length.sum() <= 16
+    assert got.sequence_id.nunique() == best_fit(got.length.tolist(), 16)
+
+
 # 10. WARC
 
 
