@@ -196,7 +196,11 @@ _open_shards: dict[str, Shard] = {}
 
 
 def open_shard(ids: str, idx: str) -> Shard:
-    """The worker's open shard of these files; of many, those opened first are closed."""
+    """The worker's open shard of these files; of many, those opened first are closed. One whose file has another size by now is opened, and so checked, anew."""
+    if idx in _open_shards:
+        fs, path = pafs.FileSystem.from_uri(ids)
+        if fs.get_file_info(path).size != _open_shards[idx].n_ids * _open_shards[idx].width:
+            del _open_shards[idx]
     if idx not in _open_shards:
         while len(_open_shards) >= OPEN_SHARDS:
             del _open_shards[next(iter(_open_shards))]
