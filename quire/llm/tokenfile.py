@@ -8,7 +8,7 @@ mapped where they are local and read in single places elsewhere: to open a shard
 
 Documents are dealt to shards by ranges of the key (of the text's beginning and of the input partition among equal keys), so shards in turn are in ascending key
 order, no key is too frequent for one, and a document's global start is its shard's start (a sum over shard totals) plus its place in the shard. The number of
-shards follows from the bytes of all texts.
+shards follows from the bytes of all texts and the number of rows, up to MOST_SHARDS; beyond that shards grow, so the manifest's size is bounded.
 
 Free style (Arrow maps): building the hash and writing raw bytes need per-partition code. Each attempt of a task writes
 files of its own names; the manifest names those of the attempts that succeeded, so nothing is ever moved or overwritten, and files of lost attempts are never read.
@@ -42,8 +42,10 @@ HEAD = "<8sIIQQQQ"  # magic, width, levels, docs, null keys, distinct keys, ids
 GAMMA = 2.0
 MOST_LEVELS = 64
 ROWS_AT_ONCE = 50_000
-#: Bytes of text that a shard holds about.
+#: Bytes of text that a shard holds about, what a row counts besides its text, and the most shards.
 SHARD_BYTES = 16 << 20
+ROW_BYTES = 64
+MOST_SHARDS = 1 << 16
 #: Characters of a text that order rows of one key.
 TIE_LENGTH = 64
 #: Open shards kept a worker.
@@ -211,15 +213,21 @@ def open_shard(ids: str, idx: str) -> Shard:
 SHARD = "shard int, ids string, idx string, n_docs long, n_ids long, first_key long, last_key long, crc32 long"
 
 
+def shard_count(docs: DataFrame, text: str) -> int:
+    """How many shards hold about SHARD_BYTES each; rows without text count too, as ranges of the key deal rows."""
+    weight = F.coalesce(F.octet_length(F.col(text)).cast("long"), F.lit(0)) + F.lit(ROW_BYTES)
+    return min(MOST_SHARDS, max(1, -(-(docs.agg(F.sum(weight).alias("n")).first()["n"] or 0) // SHARD_BYTES)))
+
+
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, shards: int | None = None, key: str = "doc_id", text: str = "text") -> list[dict]:
     """Write ``docs`` as token-id shards under the folder ``path``; returns the manifest, a row a shard in key order.
 
-    ``path`` is a URI of a file system that pyarrow opens on the executors. Without ``shards`` there are as many as hold SHARD_BYTES of text each.
+    ``path`` is a URI of a file system that pyarrow opens on the executors. Without ``shards`` there are as many as ``shard_count`` tells.
     """
     ship(docs.sparkSession)
     names = [f.split()[0] for f in SHARD.split(", ")]
     if shards is None:
-        shards = max(1, -(-(docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0) // SHARD_BYTES))
+        shards = shard_count(docs, text)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, fs, stem, sink, name = word_ids(tokenizer), None, "", None, ""
