@@ -396,6 +396,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **setting
     firsts = linked(docs, key=key, text=text, **settings).groupBy("component").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     firsts = firsts.select(F.coalesce(F.col("first.doc_id"), F.lit(-(1 << 62))).alias("k_"), F.col("first.digest").alias("d_"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 62))).alias("k"), digest(text).alias("d"))
-    kept = whole.join(firsts, (F.col("k") == F.col("k_")) & (F.col("d") == F.col("d_")), "left_semi")
+    # Rows that repeat a document fall to one a task before they are dealt, and not after.
     nth = F.row_number().over(Window.partitionBy("k", "d").orderBy(F.lit(1)))
-    return kept.withColumn("nth", nth).where("nth = 1").select("row.*")
+    whole = whole.withColumn("nth", nth).where("nth = 1")
+    return whole.join(firsts, (F.col("k") == F.col("k_")) & (F.col("d") == F.col("d_")), "left_semi").select("row.*")

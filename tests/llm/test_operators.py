@@ -457,6 +457,17 @@ def test_token_files(spark, docs, none, tmp_path):
         tokenfile.read_shards(spark, manifest).collect()
 
 
+def test_shards_follow_bytes_and_rows(spark, none, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SHARD_BYTES", 1000)
+    empty = spark.range(100).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text")
+    long_ = spark.createDataFrame([(1, "é" * 2000), (2, None)], "doc_id long, text string")
+    assert [tokenfile.shard_count(d, "text") for d in (none, empty, long_)] == [1, 7, 5]
+    monkeypatch.setattr(tokenfile, "MOST_SHARDS", 3)
+    assert tokenfile.shard_count(empty, "text") == 3
+    got = sorted(tuple(r) for r in tokenfile.token_shards(empty, BPE).collect())
+    assert [r[:3] for r in got] == [(i, i, 1) for i in range(100)]
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(-(1 << 62), 1 << 62, n))
@@ -800,7 +811,11 @@ def test_jaccard_join_of_repeated_rows_and_null_keys(spark):
     df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
     got = jaccard.near_duplicates(df).collect()
     assert Counter((r.doc_id, r.class_id, r.n_links) for r in got) == brute_links(pairs)
-    assert jaccard.keep_one(df).count() == 3
+    kept = jaccard.keep_one(df)
+    assert kept.count() == 3
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    dealt = plan.index("Exchange hashpartitioning(k#")
+    assert "row_number(), 1, Final" in plan[:dealt] and "row_number(), 1, Partial" in plan[dealt:]  # repeated rows aren't dealt
 
 
 def test_jaccard_join_where_chunks_are_empty(spark, monkeypatch):
