@@ -45,6 +45,9 @@ TOLERANCE = 1e-6
 #: Texts a side of a tile, and shingles a side when sets are compared.
 TILE = 512
 TILE_SHINGLES = 1 << 21
+#: Shingles of a tile that are counted at a time, and pairs that are compared at a time.
+RANGE = 1 << 18
+PAIRS = 1 << 16
 #: Bytes of text whose arrays are held at a time.
 CHUNK = 1 << 19
 
@@ -147,7 +150,7 @@ class Pruner:
     def all_pairs(self, a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         """The pairs between ``a`` and ``b`` (within ``a`` if ``same``) that stay, a block of rows at a time."""
         out: list[list[np.ndarray]] = [[], []]
-        rows = max(1, (1 << 20) // max(1, len(b)))
+        rows = max(1, PAIRS // max(1, len(b)))
         for lo in range(0, len(a), rows):
             i, j = np.divmod(np.arange(min(rows, len(a) - lo) * len(b)), len(b))
             i += lo
@@ -248,23 +251,29 @@ def shared(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarra
             at = np.searchsorted(v, u)
             out[k] = (v[np.minimum(at, len(v) - 1)] == u).sum()
         return out
-    # Many pairs: count through a matrix of texts and shingles, some columns at a time.
+    # Many pairs: count through matrices of texts and shingles, a range of shingles and some columns at a time.
     sets = [*a, *b] if a is not b else a
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column = column.reshape(-1)
-    keep = times[column] > 1
-    renumber = np.cumsum(times > 1) - 1
-    rows, column = rows[keep], renumber[column[keep]]
-    order = np.argsort(column, kind="stable")
-    rows, column = rows[order], column[order]
     total = np.zeros((len(a), len(b)), np.float32)
     wide = 4096
-    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, wide):
-        x, y = np.searchsorted(column, [lo, lo + wide])
-        m = np.zeros((len(sets), wide), np.float32)
-        m[rows[x:y], column[x:y] - lo] = 1
-        total += m[: len(a)] @ (m.T if a is b else m[len(a) :].T)
+    parts = -(-sum(map(len, sets)) // RANGE)
+    edges = np.asarray([(k << 64) // parts for k in range(1, parts)], np.uint64)
+    cuts = [[0, *np.searchsorted(s, edges).tolist(), len(s)] for s in sets]
+    for k in range(parts):
+        own = [s[c[k] : c[k + 1]] for s, c in zip(sets, cuts, strict=True)]
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in own])
+        _, column, times = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        column = column.reshape(-1)
+        keep = times[column] > 1
+        renumber = np.cumsum(times > 1) - 1
+        rows, column = rows[keep], renumber[column[keep]]
+        order = np.argsort(column, kind="stable")
+        rows, column = rows[order], column[order]
+        columns = int(column[-1]) + 1 if len(column) else 0
+        for lo in range(0, columns, wide):
+            x, y = np.searchsorted(column, [lo, lo + wide])
+            m = np.zeros((len(sets), min(wide, columns - lo)), np.float32)
+            m[rows[x:y], column[x:y] - lo] = 1
+            total += m[: len(a)] @ (m.T if a is b else m[len(a) :].T)
     return total[i, j].astype(np.int64)
 
 

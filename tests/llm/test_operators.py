@@ -839,11 +839,16 @@ def test_pruning_bound():
     assert tail(need) >= 1e-6 > tail(need - 1)
 
 
-def test_shared_counts_agree():
+@pytest.mark.parametrize("range_", [64, 1 << 18])
+def test_shared_counts_agree(monkeypatch, range_):
+    monkeypatch.setattr(jaccard, "RANGE", range_)
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 300, 80).astype(np.uint64)) for _ in range(30)]
+    every = rng.integers(0, 1 << 64, 300, np.uint64)
+    sets = [np.unique(rng.choice(every, 80)) for _ in range(29)] + [np.unique(every)[:1]]
     i, j = np.nonzero(np.triu(np.ones((30, 30), bool), 1))
     assert jaccard.shared(sets, sets, i, j).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)]
+    i, j = (x.ravel() for x in np.indices((18, 12)))
+    assert jaccard.shared(sets[:18], sets[18:], i, j).tolist() == [len(np.intersect1d(sets[a], sets[18 + b])) for a, b in zip(i, j, strict=True)]
 
 
 def test_components(spark):
