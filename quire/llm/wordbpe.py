@@ -85,11 +85,14 @@ class WordIds:
         if self.plain:
             for w in words:
                 if m := _PLAIN.fullmatch(w):
-                    cut[w] = (m[1].lower(), m[2])
-        if len(known) + 2 * len(cut) > TABLE_WORDS:
+                    core, tail = m.groups()
+                    cut[w] = core.lower(), tail
+        need = {p for pair in cut.values() for p in pair}
+        todo = [p for p in need if p not in known]
+        if len(known) + len(todo) > TABLE_WORDS:
             known.clear()
             known[""] = b""
-        todo = list({p for pair in cut.values() for p in pair if p not in known})
+            todo = [p for p in need if p]
         known.update(zip(todo, self._joined(todo), strict=True))
         for w, (core, tail) in cut.items():
             table[w] = known[core] + known[tail]
