@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, warc
+from . import licenses, prefixtrie, warc
 
 #: The folder of the public tokenizers is a parameter; None asks their package.
 TOKENIZERS: str | None = None
@@ -85,8 +85,24 @@ def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"), components=4)
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytebpe import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.prefix_trie(table(spark, sf_dir, "conversations")).drop("position", "end_position")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mpeg_audio, op2_best_fit_packing, op3_license_scan, op4_token_files, op5_hilbert_shards, op6_quality_votes, op7_source_mix, op8_token_counts, op9_jaccard_join, op10_warc_archive)
+    f.__name__: f for f in (op1_mpeg_audio, op2_best_fit_packing, op3_license_scan, op4_token_files, op5_hilbert_shards, op6_quality_votes, op7_source_mix, op8_token_counts, op9_jaccard_join, op10_warc_archive, op11_embedding_whitening, op12_byte_bpe, op13_prefix_trie)
 }
 
-ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op10_warc_archive": warc.ORACLE}
+ORACLES: dict[str, str] = {"op3_license_scan": licenses.oracle(), "op10_warc_archive": warc.ORACLE, "op13_prefix_trie": prefixtrie.ORACLE}
