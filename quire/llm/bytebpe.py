@@ -18,9 +18,13 @@ their names; an empty table gives no rows. Ids that no token has, and null ones,
 
 from __future__ import annotations
 
+import array
+import gc
+import hashlib
 import json
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -30,9 +34,9 @@ from pyspark.sql import functions as F
 
 from .base import arrow_map, free_name
 
-#: Answers about pairs, and pieces with their ids, that a worker keeps; a full table is emptied, which changes times but not ids.
-TABLE_PAIRS = 200_000
-TABLE_PIECES = 200_000
+#: Answers about pairs, and pieces with their ids, that a worker keeps (of pieces, as many again that were used before); full tables are emptied, which changes times but not ids.
+TABLE_PAIRS = 300_000
+TABLE_PIECES = 300_000
 #: Characters of a piece that is kept; longer ones are encoded each time.
 TABLE_LENGTH = 64
 #: Characters of a text that are split at a time, from a border of pieces on.
@@ -41,6 +45,8 @@ SPLIT_CHARS = 1 << 20
 DECODE_IDS = 1 << 20
 
 _WORDS = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+#: The same rule for texts of characters below U+0250, by the faster library.
+_LATIN = re.compile("'(?:[stmd]|re|ve|ll)| ?{L}+| ?{N}+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+".replace("{L}+", "[{L}]+").replace("{N}+|", "[{N}]+|").replace("{L}", "A-Za-zªµºÀ-ÖØ-öø-ɏ").replace("{N}", "0-9²³¹¼-¾").replace("{S}", r"\t-\r \x85\xa0"))
 #: Before a single space between words there is always a border.
 _BORDER = regex.compile(r"(?<=\S) (?=\S)")
 
@@ -52,6 +58,27 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
 
 
+class _Pieces(dict):
+    """The ids of pieces as bytes, each made when it is first asked for. No piece is spelled as a special token is, so those stand in the same table.
+
+    A full table becomes the old one, from which what is asked for again comes back; the old one before it goes.
+    """
+
+    def __init__(self, made: Callable[[str], bytes], special: dict[str, bytes]):
+        super().__init__(special)
+        self.made, self.special, self.old = made, special, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or self.made(piece)
+        if len(piece) <= TABLE_LENGTH:
+            if len(self) >= TABLE_PIECES:
+                self.old = dict(self)
+                self.clear()
+                self.update(self.special)
+            self[piece] = ids
+        return ids
+
+
 class ByteBpe:
     """The tables of one tokenizer file, and encoding and decoding by them. Bytes are held as characters U+0000 to U+00FF."""
 
@@ -86,15 +113,17 @@ class ByteBpe:
                 raise ValueError(f"{path} makes {a + b!r} by two merges")
             self.rank[made], self.left[made], self.right[made] = r, ids[a], ids[b]
             self.made[ids[a] << self.wide | ids[b]] = r
-        self.pairs: dict[int, bool] = {}
+        self.pairs: dict[int, int] = {}
         usable = [self.rank[i] < 0 and self.sizes[i] == 1 for i in range(n)]
         for a, b in merges:  # a token that its own letters don't merge to is never an answer
             made = ids[a + b]
             usable[made] = usable[ids[a]] and usable[ids[b]] and self._apart(ids[a], ids[b], self.rank[made])
         words = {self.texts[i]: i for i in range(n) if usable[i]}
+        self.single = {text: i for text, i in words.items() if len(text) == 1}
         self.found = ahocorasick.Automaton()
         for text, i in words.items():
-            self.found.add_word(text, i)
+            if len(text) > 1:  # single bytes match anywhere
+                self.found.add_word(text, (len(text) - 1, i))
         self.found.make_automaton()
         self.shorter = [-1] * n
         for text, i in words.items():
@@ -106,8 +135,9 @@ class ByteBpe:
         self.lengths = np.fromiter(map(len, stored), np.int64, n)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        self.pieces: dict[str, bytes] = {}
-        self._empty_pieces()
+        self.code = "H" if n <= 1 << 16 else "I"
+        self.decimals = [str(i) for i in range(n)]
+        self.pieces = _Pieces(self._of_piece, {t: array.array(self.code, [i]).tobytes() for t, i in self.special.items()})
         self.agreed: dict[str, bool] = {}
 
     def _apart(self, a: int, b: int, limit: int) -> bool:
@@ -123,41 +153,47 @@ class ByteBpe:
             else:
                 return True
 
-    def compatible(self, a: int, b: int) -> bool:
-        """Whether token ``b`` may follow ``a``, from the table of pairs."""
-        key = a << self.wide | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= TABLE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._apart(a, b, len(self.rank))
-        return known
+    def _learnt(self, last: int, token: int) -> int:
+        """The longest prefix of ``token`` (itself first) that is a token and may follow ``last``, or -1: kept in the table of pairs."""
+        if len(self.pairs) >= TABLE_PAIRS:
+            self.pairs.clear()
+        pair = last << self.wide | token
+        while token >= 0 and last < len(self.rank) and not self._apart(last, token, len(self.rank)):
+            token = self.shorter[token]
+        self.pairs[pair] = token
+        return token
 
     def tokens(self, piece: str) -> list[int]:
         """The tokens of one piece, given as bytes."""
-        n, sizes, shorter = len(piece), self.sizes, self.shorter
-        longest = [-1] * (n + 1)
-        for last, token in self.found.iter(piece):  # by their ends, so of those that begin at a place the longest comes last
-            longest[last + 1 - sizes[token]] = token
-        alive, out, at = bytearray(b"\1") * (n + 1), [], 0
-        token = longest[0]
-        while token >= 0:
-            end = at + sizes[token]
-            if alive[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at]
-            elif shorter[token] >= 0:
+        sizes, shorter, pairs, wide, n = self.sizes, self.shorter, self.pairs, self.wide, len(piece)
+        longest = [0] * n
+        for end, (back, token) in self.found.iter(piece):  # by their ends, so of those that begin at a place the longest comes last
+            longest[end - back] = token
+        none = len(self.rank)  # any token may follow it
+        out, at, last, dead = [], 0, none, None
+        while at < n:
+            token = longest[at] or self.single[piece[at]]
+            while True:
+                found = pairs.get(last << wide | token)
+                token = self._learnt(last, token) if found is None else found
+                if token < 0 or dead is None or at + sizes[token] not in dead:
+                    break
                 token = shorter[token]
-            else:
-                alive[at] = 0
-                token = out.pop()
-                at -= sizes[token]
+                if token < 0:
+                    break
+            if token >= 0:
+                out.append(token)
+                at += sizes[token]
+                last = token
+            else:  # nothing leads on from here after the last token, so that goes, and this is no end any more
+                dead = dead or set()
+                dead.add(at)
+                at -= sizes[out.pop()]
+                last = out[-1] if out else none
         return out
 
-    def _empty_pieces(self) -> None:
-        # No piece is spelled as a special token is, so they may stand in one table.
-        self.pieces = {t: np.asarray([i], self.kind).tobytes() for t, i in self.special.items()}
+    def _of_piece(self, piece: str) -> bytes:
+        return array.array(self.code, self.tokens(piece.encode("utf-8").decode("latin-1"))).tobytes()
 
     def _agree(self, char: str) -> bool:
         """Whether the word rule and the library class a character alike, beside letters, numbers, marks and itself."""
@@ -168,45 +204,36 @@ class ByteBpe:
 
     def _split(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text, runs of them at a time."""
-        if not text.isascii() and not all(map(self._agree, set(text))):
-            yield [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
-            return
+        words = _LATIN
+        if not text.isascii():
+            used = set(text)
+            if not all(map(self._agree, used)):
+                yield [text[a:b] for _, (a, b) in self.library.pre_tokenize_str(text)]
+                return
+            words = _LATIN if max(used) < "\u0250" else _WORDS
         at = 0
         while at < len(text):
-            cut = _BORDER.search(text, at + SPLIT_CHARS)
+            cut = _BORDER.search(text, at + SPLIT_CHARS) if len(text) > at + SPLIT_CHARS else None
             end = cut.start() if cut else len(text)
-            yield _WORDS.findall(text[at:end] if at or cut else text)
+            yield words.findall(text[at:end] if at or cut else text)
             at = end
 
-    def _of_pieces(self, pieces: list[str]) -> bytes:
-        got = list(map(self.pieces.get, pieces))
-        if None in got:
-            for i, known in enumerate(got):
-                if known is None:
-                    p = pieces[i]
-                    ids = self.pieces.get(p)
-                    if ids is None:
-                        ids = np.asarray(self.tokens(p.encode("utf-8").decode("latin-1")), self.kind).tobytes()
-                        if len(p) <= TABLE_LENGTH:
-                            if len(self.pieces) >= TABLE_PIECES:
-                                self._empty_pieces()
-                            self.pieces[p] = ids
-                    got[i] = ids
-        return b"".join(got)
-
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a whole text."""
         out = []
-        for k, part in enumerate(self.splits_special.split(text or "") if self.splits_special else [text or ""]):
+        parts = self.splits_special.split(text) if text and self.splits_special and any(t in text for t in self.special) else [text or ""]
+        for k, part in enumerate(parts):
             if k % 2:
                 out.append(self.pieces[part])
             else:
-                out += map(self._of_pieces, self._split(part))
+                for pieces in self._split(part):
+                    out += map(self.pieces.__getitem__, pieces)
         return np.frombuffer(b"".join(out), self.kind)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids."""
-        ids = ids[(ids >= 0) & (ids < len(self.lengths))]
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.lengths)):
+            ids = ids[(ids >= 0) & (ids < len(self.lengths))]
         out = []
         for lo in range(0, len(ids), DECODE_IDS):
             some = ids[lo : lo + DECODE_IDS]
@@ -223,6 +250,9 @@ def byte_bpe(path: str) -> ByteBpe:
     """The worker's tables for the file at ``path``."""
     if path not in _open:
         _open[path] = ByteBpe(path)
+        gc.collect()
+        gc.freeze()  # the tables stay, so looking for garbage among them is in vain, and there is little of it
+        gc.set_threshold(50_000, 20, 100)
     return _open[path]
 
 
@@ -252,11 +282,17 @@ def decoded(coded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids",
 
 
 def round_trip(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``n_tokens``, ``ids_sha256`` (of the ids as decimals joined by commas) and ``decoded_sha256`` (of the decoded text in UTF-8)."""
-    both = decoded(encoded(docs, path, key, text), path, key).toDF("k_", "ids_", "t_")
-    return both.select(
-        F.col("k_").alias(key),
-        F.size("ids_").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids_").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("t_").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """``key``, ``n_tokens``, ``ids_sha256`` (of the ids as decimals joined by commas) and ``decoded_sha256`` (of the decoded text in UTF-8); ids don't leave the worker that makes them."""
+
+    def rows(cols: dict[str, list]) -> dict[str, object]:
+        bpe, counts, ids_sha, text_sha = byte_bpe(path), [], [], []
+        for t in cols["t_"]:
+            ids = bpe.encode(t)
+            counts.append(len(ids))
+            ids_sha.append(hashlib.sha256(",".join(map(bpe.decimals.__getitem__, ids.tolist())).encode()).hexdigest())
+            text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+        return {"k_": cols["k_"], "n_tokens": counts, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
+
+    kind = docs.schema[key].dataType.simpleString()
+    out = arrow_map(docs.select(F.col(key).alias("k_"), F.col(text).alias("t_")), rows, f"k_ {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", weigh="t_")
+    return out.withColumnRenamed("k_", key)

@@ -123,7 +123,7 @@ def test_unusable_tokens_are_never_answers(both):
     own, library = both
     for i, text in enumerate(own.texts):
         if text and i % 5 == 0:
-            kept = own.found.exists(text)
+            kept = text in own.single or own.found.exists(text)
             letters = {b: c for c, b in bytebpe.byte_letters().items()}
             assert kept == ([t.id for t in library.model.tokenize("".join(letters[ord(c)] for c in text))] == [i])
 
