@@ -10,3 +10,6 @@ PAGE_LIST = "book string, pos int, file_name string, fragment string, label stri
 BINDINGS = "book string, pos int, attrs map<string,string>"
 
 TABLES = {"books": BOOKS, "metadata": METADATA, "items": ITEMS, "spine": SPINE, "toc": TOC, "guide": GUIDE, "page_list": PAGE_LIST, "bindings": BINDINGS}
+
+#: Books that couldn't be read, and why: 0 for a broken archive, 1 for one that is too large, -1 for parts that are missing or can't be read.
+QUARANTINE = "book string, error_code int, error string"

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import html
 import io
+import lzma
 import os
 import posixpath
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 from collections.abc import Callable
+from typing import IO
 from urllib.parse import unquote
 
 from .. import constants as C
@@ -83,14 +86,36 @@ def parse_xml(raw: bytes) -> ET.Element:
         return recover_xml(text.decode("utf-8", "replace"))
 
 
-def archive_reader(raw: bytes) -> Callable[[str], bytes]:
-    try:
-        z = zipfile.ZipFile(io.BytesIO(raw))
-    except zipfile.LargeZipFile:
-        raise BookError(1, "Large Zip file") from None
-    except (zipfile.BadZipFile, OSError, ValueError):
-        raise BookError(0, "Bad Zip file") from None
-    return lambda name: z.read(posixpath.normpath(name))
+class Archive:
+    """Reads entries of an archive, given as bytes or as a file that can seek: of the latter, its directory and the entries asked for. What is wrong with an entry is told in one way, whoever reads it."""
+
+    def __init__(self, source: bytes | IO[bytes]):
+        try:
+            self.zip = zipfile.ZipFile(io.BytesIO(source) if isinstance(source, bytes) else source)
+        except zipfile.LargeZipFile:
+            raise BookError(1, "Large Zip file") from None
+        except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError):
+            raise BookError(0, "Bad Zip file") from None
+
+    def look(self, name: str) -> str:
+        """The entry's name in the directory; an error where that tells already that it can't be read."""
+        name = posixpath.normpath(name)
+        info = self.zip.getinfo(name)
+        if info.flag_bits & 1:
+            raise BookError(-1, f"{name} is encrypted")
+        if info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA):
+            raise BookError(-1, f"{name} is compressed in an unknown way")
+        return name
+
+    def __call__(self, name: str) -> bytes:
+        name = self.look(name)
+        try:
+            return self.zip.read(name)
+        except (zipfile.BadZipFile, zlib.error, EOFError, lzma.LZMAError, OSError, ValueError, NotImplementedError, RuntimeError):
+            raise BookError(-1, f"{name} is damaged") from None
+
+
+archive_reader = Archive
 
 
 def folder_reader(folder: str, fs=None) -> Callable[[str], bytes]:
@@ -107,6 +132,12 @@ def folder_reader(folder: str, fs=None) -> Callable[[str], bytes]:
         with open(path, "rb") as f:
             return f.read()
 
+    def look(name: str) -> None:
+        path = posixpath.normpath(posixpath.join(top, name))
+        if fs is None and not os.path.isfile(path) or fs is not None and not fs.get_file_info(path).is_file:
+            raise FileNotFoundError(name)
+
+    read.look = look
     return read
 
 
@@ -119,7 +150,7 @@ def package_path(read: Callable[[str], bytes]) -> str:
     """Where the package document is: the last root file of its media type."""
     try:
         root = parse_xml(read(C.CONTAINER_PATH))
-    except KeyError:
+    except (KeyError, FileNotFoundError):
         raise BookError(-1, "Can not find container file") from None
     found = [e.get("full-path") or "" for e in root.iter() if _local(e.tag)[1] == "rootfile" and e.get("media-type") == C.OPF_TYPE]
     if not found:
@@ -140,69 +171,66 @@ def _kind(media_type: str, properties: list[str]) -> str:
     return "item"
 
 
-def _toc_rows(book: str, nodes: list, path: tuple[int, ...] = ()) -> list[tuple]:
-    """Rows in pre-order of nodes (title, href, uid, children)."""
-    rows = []
-    for i, (title, href, uid, kids) in enumerate(nodes):
-        own = (*path, i)
-        rows.append((book, list(own), list(path), len(own), "section" if kids is not None else "link", title, href, uid))
-        rows += _toc_rows(book, kids or [], own)
+def _toc_rows(book: str, nodes: list[tuple]) -> list[tuple]:
+    """Rows of nodes (depth from 0, title, href, uid, whether it is a section), which are in pre-order."""
+    rows, path = [], []
+    for depth, title, href, uid, section in nodes:
+        path = [*path[:depth], path[depth] + 1 if depth < len(path) else 0]
+        rows.append((book, list(path), path[:-1], len(path), "section" if section else "link", title, href, uid))
     return rows
 
 
-def ncx_nodes(raw: bytes) -> list:
-    root = parse_xml(raw)
-    nav_map = root.find(f"{{{NS['DAISY']}}}navMap")
-
-    def nodes(parent: ET.Element | None) -> list:
-        out = []
-        for p in parent if parent is not None else ():
-            if _local(p.tag)[1] == "navPoint":
-                label = p.find(f"{{{NS['DAISY']}}}navLabel/{{{NS['DAISY']}}}text")
-                content = p.find(f"{{{NS['DAISY']}}}content")
-                kids = nodes(p)
-                out.append((label.text if label is not None else "", content.get("src", "") if content is not None else "", None if kids else p.get("id", ""), kids or None))
-        return out
-
-    return nodes(nav_map)
+def ncx_nodes(raw: bytes) -> list[tuple]:
+    """The navigation points in pre-order, as ``_toc_rows`` takes them; of any depth."""
+    points = lambda parent: [p for p in (parent if parent is not None else ()) if isinstance(p.tag, str) and _local(p.tag)[1] == "navPoint"]
+    out, stack = [], [(p, 0) for p in reversed(points(parse_xml(raw).find(f"{{{NS['DAISY']}}}navMap")))]
+    while stack:
+        p, depth = stack.pop()
+        label, content, kids = p.find(f"{{{NS['DAISY']}}}navLabel/{{{NS['DAISY']}}}text"), p.find(f"{{{NS['DAISY']}}}content"), points(p)
+        out.append((depth, label.text if label is not None else "", content.get("src", "") if content is not None else "", None if kids else p.get("id", ""), bool(kids)))
+        stack += [(k, depth + 1) for k in reversed(kids)]
+    return out
 
 
 def _link(base: str, href: str) -> str:
     return href if re.match("[A-Za-z][A-Za-z0-9+.-]*:", href) else posixpath.normpath(posixpath.join(base, href))
 
 
-def nav_nodes(raw: bytes, base: str, kind: str = "toc") -> list:
+def nav_nodes(raw: bytes, base: str, kind: str = "toc") -> list[tuple]:
+    """The entries of a navigation document's list of ``kind`` in pre-order, as ``_toc_rows`` takes them; of any depth."""
     nav = next((e for e in parse_html(raw).walk() if e.name == "nav" and kind in e.attrs.values()), None)
-
-    def nodes(ol: Element | None) -> list:
-        out = []
-        for li in (e for e in (ol.elements() if ol else ()) if e.name == "li"):
-            inner, a = li.find("ol"), li.find("a")
-            href = _link(base, a.attrs["href"]) if a is not None and a.attrs.get("href") else ""
-            if inner is not None:
-                first = li.elements()[0]
-                out.append((first.text() if first is not inner else "", href, None, nodes(inner)))
-            elif href:
-                out.append((a.text(), href, None, None))
-        return out
-
-    return nodes(nav.find("ol")) if nav is not None else []
-
-
-def read_tables(book: str, read: Callable[[str], bytes], ignore_ncx: bool = True, content: bool = True) -> dict[str, list[tuple]]:
-    """Rows of every table of one book."""
+    entries = lambda ol: [e for e in (ol.elements() if ol else ()) if e.name == "li"]
+    out, stack = [], [(li, 0) for li in reversed(entries(nav.find("ol")))] if nav is not None else []
+    while stack:
+        li, depth = stack.pop()
+        inner, a = li.find("ol"), li.find("a")
+        href = _link(base, a.attrs["href"]) if a is not None and a.attrs.get("href") else ""
+        if inner is not None:
+            first = li.elements()[0]
+            out.append((depth, first.text() if first is not inner else "", href, None, True))
+            stack += [(k, depth + 1) for k in reversed(entries(inner))]
+        elif href:
+            out.append((depth, a.text(), href, None, False))
+    return out
+
+
+def read_tables(book: str, read: Callable[[str], bytes], ignore_ncx: bool = True, content: bool = True, keep: bool = True) -> dict[str, list[tuple]]:
+    """Rows of every table of one book. With ``content`` every entry of the manifest is read, so that what can't be read is told; without ``keep`` the bytes aren't handed on. Without ``content`` entries are
+    looked up alone."""
     opf = package_path(read)
     try:
         root = parse_xml(read(opf))
-    except KeyError:
+    except (KeyError, FileNotFoundError):
         raise BookError(-1, "Can not find container file") from None
     base = posixpath.dirname(opf)
     part = lambda name: root.find(f"{{{NS['OPF']}}}{name}")
 
-    def load(name: str) -> bytes:
+    look = getattr(read, "look", read)
+
+    def load(name: str, whole: bool = True) -> bytes:
         try:
-            return read(posixpath.join(base, name))
-        except KeyError:
+            return (read if whole else look)(posixpath.join(base, name))
+        except (KeyError, FileNotFoundError):
             raise BookError(-1, f"Can not find {name}") from None
 
     metadata = []
@@ -226,8 +254,8 @@ def read_tables(book: str, read: Callable[[str], bytes], ignore_ncx: bool = True
         media = "image/jpeg" if media == "image/jpg" else media
         props = [p for p in (e.get("properties") or "").split(" ") if p]
         kind = _kind(media, props)
-        raw = load(href) if content else None
-        items.append((book, len(items), kind, e.get("id"), href, media or C.DEFAULT_MEDIA_TYPE, kind != "cover_html", True, "Cover" if kind == "cover_html" else "", "", None, e.get("media-overlay"), e.get("duration"), props, [], [], raw))
+        raw = load(href, content)
+        items.append((book, len(items), kind, e.get("id"), href, media or C.DEFAULT_MEDIA_TYPE, kind != "cover_html", True, "Cover" if kind == "cover_html" else "", "", None, e.get("media-overlay"), e.get("duration"), props, [], [], raw if content and keep else None))
     ids = {}
     for i in items:
         ids.setdefault(i[3], i)
@@ -246,7 +274,7 @@ def read_tables(book: str, read: Callable[[str], bytes], ignore_ncx: bool = True
         raw, folder = load(nav[4]), posixpath.dirname(nav[4])
         if ignore_ncx or not toc:
             toc = nav_nodes(raw, folder)
-        for _, _, _, _, kind, title, href, _ in _toc_rows(book, nav_nodes(raw, folder, "page-list")):
+        for _, title, href, _, _ in nav_nodes(raw, folder, "page-list"):
             if href:
                 name, mark, fragment = href.partition("#")
                 one = mark and "#" not in fragment

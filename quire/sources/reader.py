@@ -5,15 +5,18 @@
 A container isn't splittable: one is read by one task.
 
 Containers are opened once for all tables where tables are kept: ``Corpus.save``, ``Corpus.staged`` and the incremental ingest parse each file once, into
-rows tagged with their table, which are then split. A table that is read on its own parses for itself, and only ``items`` inflates the
-documents, if ``content`` is asked for.
+rows tagged with their table, which are then split. A table that is read on its own parses for itself, but by the same ``Reading``, so a book that can't be read is told by every table, every way of reading and
+``quarantine`` alike.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -23,9 +26,11 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from ..constants import CONTAINER_PATH
-from ..schemas import TABLES
+from ..schemas import QUARANTINE, TABLES
 from ..workdir import new_path, written
-from .container import BookError, archive_reader, failed, folder_reader, read_tables
+from .container import Archive, failed, folder_reader, read_tables
+from .entries import ENTRIES, entries_of
+from .entries import file_system as _file_system
 
 
 def _arrow(schema: str | StructType):
@@ -39,13 +44,41 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([cell(r[k], f.type) for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def tables_of(book: str, raw: bytes, ignore_ncx: bool = True, content: bool = True, fail_fast: bool = False) -> dict[str, list[tuple]]:
-    try:
-        return read_tables(book, archive_reader(raw), ignore_ncx, content)
-    except Exception as e:
-        if fail_fast:
-            raise
-        return failed(book, e)
+@dataclass(frozen=True)
+class Reading:
+    """How books are read: every table of a book is told from the same reading, so a book that can't be read is one in all of them.
+
+    ``mode``: PERMISSIVE (a row of ``books`` and of ``quarantine`` says why), DROPMALFORMED (no rows, but in ``quarantine``) or FAILFAST (the query ends). ``corrupt`` names a column that every table then
+    has at its end: null, but for a book that can't be read, which has a row in each with its name and what is wrong.
+    """
+
+    ignore_ncx: bool = True
+    content: bool = True
+    mode: str = "PERMISSIVE"
+    corrupt: str | None = None
+
+    def schema(self, table: str) -> str:
+        return QUARANTINE if table == "quarantine" else TABLES[table] + (f", {self.corrupt} string" if self.corrupt else "")
+
+    def tables(self, book: str, opened: Callable[[], Callable[[str], bytes]], only: str | None = None) -> dict[str, list[tuple]]:
+        """Rows of the tables of one book (but ``only`` one is used: contents are kept for items alone)."""
+        try:
+            out = read_tables(book, opened(), self.ignore_ncx, self.content, only in (None, "items"))
+        except Exception as e:
+            if self.mode.upper() == "FAILFAST":
+                raise
+            out = failed(book, e)
+            told = out["books"][0]
+            dropped = self.mode.upper() == "DROPMALFORMED"
+            if self.corrupt and not dropped:
+                out = {t: [(book, *[None] * (_width(t) - 1), told[-1])] for t in TABLES} | {"books": [(*told, told[-1])]}
+            return ({} if dropped else out) | {"quarantine": [(book, told[-2], told[-1])]}
+        return {t: [(*r, None) for r in rows] for t, rows in out.items()} if self.corrupt else out
+
+
+@cache
+def _width(table: str) -> int:
+    return len(re.split(r", (?=\w+ \w)", TABLES[table]))
 
 
 @dataclass
@@ -62,8 +95,10 @@ class Corpus:
     bindings: DataFrame
     #: The containers that the tables were read from, how, and the tables as they were then: one that was changed since isn't read again.
     files: DataFrame | None = None
-    options: tuple = ()
+    options: Reading = Reading()
     read: tuple = ()
+    #: book, error_code, error of the books that couldn't be read, whatever the mode.
+    quarantine: DataFrame | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {t: getattr(self, t) for t in TABLES}
@@ -76,12 +111,13 @@ class Corpus:
     def staged(self) -> Corpus:
         """The same tables, each container opened once and all rows kept in the shared folder."""
         if self.files is None or any(a is not b for a, b in zip(self.read, self.tables().values(), strict=True)):
-            return Corpus(**{t: written(df, t) for t, df in self.tables().items()})
-        return parse_once(self.files, *self.options)
+            return Corpus(**{t: written(df, t) for t, df in self.tables().items()}, quarantine=None if self.quarantine is None else written(self.quarantine, "quarantine"))
+        return parse_once(self.files, self.options)
 
     def save(self, path: str) -> None:
         """Write all tables as Parquet, so that later queries prune columns and don't open containers again. Each container is opened once."""
-        for name, df in (self.staged() if self.files is not None else self).tables().items():
+        own = self.staged() if self.files is not None else self
+        for name, df in (own.tables() | ({} if own.quarantine is None else {"quarantine": own.quarantine})).items():
             df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
@@ -90,34 +126,35 @@ def load_corpus(spark: SparkSession, path: str) -> Corpus:
     return Corpus(**{t: spark.read.schema(s).parquet(f"{path}/{t}") for t, s in TABLES.items()})
 
 
-def parse_containers(files: DataFrame, table: str, ignore_ncx: bool = True, content: bool = True, fail_fast: bool = False) -> DataFrame:
+def parse_containers(files: DataFrame, table: str, reading: Reading = Reading()) -> DataFrame:
     """One table of the containers in ``files`` (book, content), a batch or streaming DataFrame."""
-
-    schema = _arrow(TABLES[table])
+    said = reading.schema(table)
+    schema = _arrow(said)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for book, raw in zip(batch.column(0), batch.column(1), strict=True):  # a book at a time bounds memory
-                rows = tables_of(book.as_py(), raw.as_py(), ignore_ncx, content and table == "items", fail_fast).get(table, [])
+                rows = reading.tables(book.as_py(), lambda raw=raw: Archive(raw.as_py()), table).get(table, [])
                 if rows:
                     yield _batch(schema, rows)
 
-    return files.select("book", "content").mapInArrow(run, TABLES[table])
+    return files.select("book", "content").mapInArrow(run, said)
 
 
-def parse_once(files: DataFrame, ignore_ncx: bool = True, content: bool = True, fail_fast: bool = False) -> Corpus:
+def parse_once(files: DataFrame, reading: Reading = Reading()) -> Corpus:
     """All tables of the containers in ``files`` by one pass over them: rows tagged with their table are written to the shared folder, and each table reads its own."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    kinds = {t: _parse_datatype_string(reading.schema(t)) for t in (*TABLES, "quarantine")}
     tagged = StructType().add("table", "string")
-    for t, schema in TABLES.items():
-        tagged = tagged.add(t, _parse_datatype_string(schema))
-    arrow, each = to_arrow_schema(tagged), {t: _arrow(schema) for t, schema in TABLES.items()}
+    for t, kind in kinds.items():
+        tagged = tagged.add(t, kind)
+    arrow, each = to_arrow_schema(tagged), {t: _arrow(kind) for t, kind in kinds.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for book, raw in zip(batch.column(0), batch.column(1), strict=True):
-                for t, rows in tables_of(book.as_py(), raw.as_py(), ignore_ncx, content, fail_fast).items():
+                for t, rows in reading.tables(book.as_py(), lambda raw=raw: Archive(raw.as_py())).items():
                     if rows:
                         own = _batch(each[t], rows)
                         made = pa.StructArray.from_arrays(own.columns, fields=list(own.schema))
@@ -128,7 +165,7 @@ def parse_once(files: DataFrame, ignore_ncx: bool = True, content: bool = True,
     path = new_path(spark, "parsed")
     files.select("book", "content").mapInArrow(run, tagged).write.partitionBy("table").parquet(path)
     read = lambda t: spark.read.schema(StructType([tagged[t], tagged["table"]])).parquet(path).where(F.col("table") == t).select(f"{t}.*")
-    return Corpus(**{t: read(t) for t in TABLES})
+    return Corpus(**{t: read(t) for t in kinds})
 
 
 def containers(spark: SparkSession, path: str | list[str], pattern: str = "*.epub", where: str | None = None) -> DataFrame:
@@ -138,26 +175,31 @@ def containers(spark: SparkSession, path: str | list[str], pattern: str = "*.epu
     return files.select(F.regexp_replace("path", "^file:/+", "/").alias("book"), "content")
 
 
-def read_corpus(spark: SparkSession, path: str | list[str], ignore_ncx: bool = True, mode: str = "PERMISSIVE", pattern: str = "*.epub", content: bool = True, where: str | None = None) -> Corpus:
-    """All tables of the containers below ``path``, by ``containers``. In PERMISSIVE mode a book that can't be read is a row of ``books`` with its error; in FAILFAST it ends the query.
+def read_corpus(spark: SparkSession, path: str | list[str], ignore_ncx: bool = True, mode: str = "PERMISSIVE", pattern: str = "*.epub", content: bool = True, where: str | None = None, corrupt: str | None = None) -> Corpus:
+    """All tables of the containers below ``path``, by ``containers``, and ``quarantine``; ``mode`` and ``corrupt`` are those of ``Reading``.
 
-    Without ``content`` the items' bytes are null and no document is inflated but those that tables are read from.
+    Without ``content`` the items' bytes are null and no document is inflated but those that tables are read from; entries that are missing, encrypted or compressed in an unknown way are told all the
+    same, damaged ones that aren't read are not.
     """
-    files, fast = containers(spark, path, pattern, where), mode.upper() == "FAILFAST"
-    tables = {t: parse_containers(files, t, ignore_ncx, content, fast) for t in TABLES}
-    return Corpus(**tables, files=files, options=(ignore_ncx, content, fast), read=tuple(tables.values()))
+    files, reading = containers(spark, path, pattern, where), Reading(ignore_ncx, content, mode, corrupt)
+    tables = {t: parse_containers(files, t, reading) for t in TABLES}
+    return Corpus(**tables, files=files, options=reading, read=tuple(tables.values()), quarantine=parse_containers(files, "quarantine", reading))
 
 
 class EpubDataSource(DataSource):
-    """``spark.read.format("epub")``; options: path, table (items), ignore_ncx (true), content (true), mode (PERMISSIVE), and pushdown (false; books
-    asked for by name alone are opened, where spark.sql.python.filterPushdown.enabled is set)."""
+    """``spark.read.format("epub")``; options: path, table (items; quarantine and entries too), ignore_ncx (true), content (true), mode (PERMISSIVE), corrupt (a column's name), and pushdown (false;
+    books asked for by name alone are opened, where spark.sql.python.filterPushdown.enabled is set).
+
+    Containers are opened by seeking: with content false a table reads a book's directory and the few entries that it is told by, not the container.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "epub"
 
     def schema(self) -> str:
-        return TABLES[self.options.get("table", "items")]
+        table = self.options.get("table", "items")
+        return ENTRIES if table == "entries" else _reading(self.options).schema(table)
 
     def reader(self, schema: StructType) -> DataSourceReader:
         options = dict(self.options)
@@ -177,12 +219,10 @@ PARTITION_BYTES = 64 << 20
 FILE_BYTES = 1 << 20
 
 
-def _file_system(path: str) -> tuple[pafs.FileSystem, str, str]:
-    """The file system of a path or URI, its path there, and what goes before such paths to name them."""
-    if "://" not in path:
-        return pafs.LocalFileSystem(), os.path.abspath(path), ""
-    fs, inner = pafs.FileSystem.from_uri(path)
-    return fs, inner, "" if isinstance(fs, pafs.LocalFileSystem) else path[: path.index("://") + 3] + (path.split("/")[2] if path.startswith("hdfs://") else "")
+def _reading(options: dict) -> Reading:
+    """The reading that a data source's options ask for."""
+    flag = lambda k: str(options.get(k, True)).lower() == "true"
+    return Reading(flag("ignore_ncx"), flag("content"), str(options.get("mode", "PERMISSIVE")), options.get("corrupt"))
 
 
 class _Reader(DataSourceReader):
@@ -196,7 +236,7 @@ class _Reader(DataSourceReader):
         if top.type == pafs.FileType.File:
             sizes = {path: top.size}
         else:
-            found = fs.get_file_info(pafs.FileSelector(path, recursive=True))
+            found = [i for i in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if not re.search("/[_.]", i.path[len(path) :])]
             marks = f"/{CONTAINER_PATH}"
             folders = {i.path.removesuffix(marks): 0 for i in found if i.type == pafs.FileType.File and f"/{i.path}".endswith(marks)}
             sizes = {i.path: i.size or 0 for i in found if i.type == pafs.FileType.File and i.path.endswith(".epub")}
@@ -219,23 +259,22 @@ class _Reader(DataSourceReader):
         return out or [_Books([])]
 
     def read(self, partition: _Books) -> Iterator[pa.RecordBatch]:
-        flag = lambda k, d: str(self.options.get(k, d)).lower() == "true"
-        table = self.options.get("table", "items")
+        table, reading = self.options.get("table", "items"), _reading(self.options)
         fs, _, front = _file_system(self.options["path"])
         for path in partition.paths:
-            try:
-                if fs.get_file_info(path).type == pafs.FileType.Directory:
-                    read = folder_reader(path, None if isinstance(fs, pafs.LocalFileSystem) else fs)
-                else:
-                    with fs.open_input_file(path) as f:
-                        read = archive_reader(f.read())
-                rows = read_tables(front + path, read, flag("ignore_ncx", True), flag("content", True) and table == "items")
-            except (BookError, OSError, KeyError, SyntaxError) as e:
-                if str(self.options.get("mode", "")).upper() == "FAILFAST":
-                    raise
-                rows = failed(front + path, e)
-            if rows.get(table):
-                yield _batch(self.schema, rows[table])
+            if table == "entries":
+                yield _batch(self.schema, entries_of(front + path, lambda p=path: fs.open_input_file(p), reading.mode))
+                continue
+            with ExitStack() as stack:
+
+                def opened(path: str = path) -> Callable[[str], bytes]:
+                    if fs.get_file_info(path).type == pafs.FileType.Directory:
+                        return folder_reader(path, None if isinstance(fs, pafs.LocalFileSystem) else fs)
+                    return Archive(stack.enter_context(fs.open_input_file(path)))
+
+                rows = reading.tables(front + path, opened, table).get(table)
+            if rows:
+                yield _batch(self.schema, rows)
 
 
 class _PushingReader(_Reader):
@@ -253,51 +292,58 @@ class _PushingReader(_Reader):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: list
+    """What a task tells the driver: the folder that it wrote into, and how many books."""
+
+    folder: str | None
+    books: int
 
 
 class _Writer(DataSourceWriter):
-    """Writes rows (book, data): a container each, under a temporary name until the job commits."""
+    """Writes rows (book, data), a container each, on any file system that pyarrow opens. A task writes into a folder of its attempt; at the commit each such folder becomes a part of the output by one
+    move, so the driver handles a name a task, not one a book. Overwriting drops the parts and containers that lay right in the folder before."""
 
     def __init__(self, options: dict, schema: StructType, overwrite: bool):
-        self.path, self.columns, self.overwrite = options["path"].removeprefix("file://"), schema.names, overwrite
+        import uuid
+
+        self.path, self.columns, self.overwrite, self.job = options["path"], schema.names, overwrite, uuid.uuid4().hex
         if not {"book", "data"} <= set(self.columns):
             raise ValueError("the epub sink takes columns book and data, as quire.sources.writer.pack makes them")
 
+    def _attempts(self, folder: str) -> str:
+        return f"{folder}/_attempts-{self.job}"
+
     def write(self, rows: Iterator) -> WriterCommitMessage:
         import uuid
 
-        os.makedirs(self.path, exist_ok=True)
-        files = []
+        fs, folder, _ = _file_system(self.path)
+        own, seen = f"{self._attempts(folder)}/{uuid.uuid4().hex}", set()
         for r in rows:
-            to = os.path.join(self.path, file_name(r["book"]))
-            os.makedirs(os.path.dirname(to), exist_ok=True)
-            tmp = f"{to}.{uuid.uuid4().hex}.tmp"
-            with open(tmp, "wb") as f:
+            name = file_name(r["book"])
+            if name in seen:
+                raise ValueError(f"books can't be written under one name: {name}")
+            seen.add(name)
+            fs.create_dir(os.path.dirname(f"{own}/{name}"), recursive=True)
+            with fs.open_output_stream(f"{own}/{name}") as f:
                 f.write(r["data"])
-            files.append((tmp, to))
-        return _Written(files)
+        return _Written(own if seen else None, len(seen))
 
     def commit(self, messages: list) -> None:
-        all_ = [to for m in messages if m for _, to in m.files]
-        done = set(all_)
-        if len(done) < len(all_):
-            self.abort(messages)
-            raise ValueError(f"books can't be written under one name: {sorted(x for x in done if all_.count(x) > 1)[:5]}")
-        if self.overwrite and os.path.isdir(self.path):
-            for d, _, names in os.walk(self.path):
-                for n in names:
-                    if n.endswith(".epub") and os.path.join(d, n) not in done:
-                        os.remove(os.path.join(d, n))
-        for m in messages:
-            for tmp, to in m.files if m else ():
-                os.replace(tmp, to)
+        fs, folder, _ = _file_system(self.path)
+        before = fs.get_file_info(pafs.FileSelector(folder, allow_not_found=True)) if self.overwrite else []
+        for k, m in enumerate(messages):
+            if m and m.folder:
+                fs.move(m.folder, f"{folder}/part-{k:05d}-{self.job}")
+        for i in before:
+            if i.type == pafs.FileType.Directory and re.fullmatch(r"part-\d{5}-[0-9a-f]{32}", i.base_name):
+                fs.delete_dir(i.path)
+            elif i.is_file and i.base_name.endswith(".epub"):
+                fs.delete_file(i.path)
+        self.abort(messages)
 
     def abort(self, messages: list) -> None:
-        for m in messages:
-            for tmp, _ in m.files if m else ():
-                if os.path.exists(tmp):
-                    os.remove(tmp)
+        fs, folder, _ = _file_system(self.path)
+        if fs.get_file_info(self._attempts(folder)).type == pafs.FileType.Directory:
+            fs.delete_dir(self._attempts(folder))
 
 
 def file_name(book: str) -> str:

@@ -8,10 +8,12 @@ import posixpath
 import re
 import zipfile
 from collections.abc import Iterator
+from dataclasses import replace
 from datetime import UTC, datetime
 from html import escape
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ from ..operators.documents import pages as page_marks
 from ..operators.documents import _root as new_root
 from ..operators.documents import render, render_cover
 from ..schemas import TABLES
-from .reader import Corpus, file_name
+from ..workdir import written
+from .entries import file_system
+from .reader import Corpus, _arrow, file_name
 
 NS = C.NAMESPACES
 #: Options of a container and their defaults. ``mtime`` is the modification time (none: now).
@@ -124,17 +128,22 @@ def guide_entries(book: dict) -> list[tuple[str, str, str]]:
 
 
 def _tree(book: dict) -> list[dict]:
-    """The table of contents as nested nodes; a node with an item's id takes its file and title where it lacks its own."""
+    """The table of contents in pre-order, each node with its depth from 0, whether it has others below it, and the link of the first leaf right below; a node with an item's id takes its file and title
+    where it lacks its own, and one whose parent isn't there stands at the top."""
     nodes: dict[tuple, dict] = {}
-    top: list[dict] = []
     ids = {i["id"]: i for i in reversed(book["items"])}
     for t in sorted(book["toc"], key=lambda t: t["path"]):
         i = ids.get(t["uid"]) if t["node_kind"] in ("document", "document_section") else None
-        n = {"kind": t["node_kind"], "title": t["title"] or (i["title"] if i else "") or "", "href": t["href"] or (i["file_name"] if i else "") or "", "uid": t["uid"], "kids": []}
-        nodes[tuple(t["path"])] = n
         parent = nodes.get(tuple(t["path"][:-1]))
-        (parent["kids"] if parent else top).append(n)
-    return top
+        n = {"kind": t["node_kind"], "title": t["title"] or (i["title"] if i else "") or "", "href": t["href"] or (i["file_name"] if i else "") or "", "uid": t["uid"], "depth": parent["depth"] + 1 if parent else 0, "inner": t["node_kind"] in ("section", "document_section"), "kids": False, "below": "", "parent": parent}
+        nodes[tuple(t["path"])] = n
+        if parent:
+            parent["kids"] = parent["inner"] = True
+    out = list(nodes.values())
+    for n in out:
+        if n["parent"] and not n["kids"] and not n["parent"]["below"]:
+            n["parent"]["below"] = n["href"]
+    return out
 
 
 def navigation(book: dict, nav: dict, o: dict) -> bytes:
@@ -149,15 +158,12 @@ def navigation(book: dict, nav: dict, o: dict) -> bytes:
     toc = body.add("nav", {"epub:type": "toc", "id": "id", "role": "doc-toc"})
     toc.add("h2", text=title)
 
-    def fill(parent: Element, nodes: list[dict]) -> None:
-        ol = parent.add("ol")
-        for n in nodes:
-            li = ol.add("li")
-            li.add("a", {"href": relative(n["href"], folder)}, n["title"]) if n["href"] else li.add("span", None, n["title"])
-            if n["kids"] or n["kind"] in ("section", "document_section"):
-                fill(li, n["kids"])
-
-    fill(toc, _tree(book))
+    lists = {0: toc.add("ol")}
+    for n in _tree(book):
+        li = lists[n["depth"]].add("li")
+        li.add("a", {"href": relative(n["href"], folder)}, n["title"]) if n["href"] else li.add("span", None, n["title"])
+        if n["inner"]:
+            lists[n["depth"] + 1] = li.add("ol")
     marks = [g for g in guide_entries(book) if g[2]]
     if book["guide"] and o["epub3_landmark"]:
         land = body.add("nav", {"epub:type": "landmarks"})
@@ -178,27 +184,20 @@ def navigation(book: dict, nav: dict, o: dict) -> bytes:
 
 def ncx(book: dict, o: dict) -> bytes:
     """The older navigation file; sections without a link take that of the first leaf right below."""
-    counters = {"order": int(o["play_order_start"]) - 1, "section": -1}
-
-    def points(nodes: list[dict]) -> list[str]:
-        out = []
-        for n in nodes:
-            inner = bool(n["kids"]) or n["kind"] in ("section", "document_section")
-            counters["order"] += 1
-            counters["section"] += inner
-            uid = f"sep_{counters['section']}" if inner and n["kind"] != "document_section" else n["uid"] or ""
-            order = str(counters["order"]) if o["play_order"] else None
-            src = n["href"] or next((k["href"] for k in n["kids"] if not k["kids"] and k["href"]), "")
-            start = _tag("navPoint", {"id": uid, "playOrder": order})[:-2] + ">"
-            out += [start, "<navLabel>", _tag("text", {}, n["title"]), "</navLabel>", _tag("content", {"src": src}), *points(n["kids"]), "</navPoint>"]
-        return out
-
+    points, open_, sections = [], 0, 0
+    for order, n in enumerate(_tree(book), int(o["play_order_start"])):
+        points += ["</navPoint>"] * (open_ - n["depth"])
+        uid = f"sep_{sections}" if n["inner"] and n["kind"] != "document_section" else n["uid"] or ""
+        sections += n["inner"]
+        points += [_tag("navPoint", {"id": uid, "playOrder": str(order) if o["play_order"] else None})[:-2] + ">", "<navLabel>", _tag("text", {}, n["title"]), "</navLabel>", _tag("content", {"src": n["href"] or n["below"]})]
+        open_ = n["depth"] + 1
+    points += ["</navPoint>"] * open_
     template = dict(book.get("templates") or {}).get("ncx")
     start = [bytes(template).decode("utf-8", "replace").rpartition("</")[0]] if template else ['<?xml version="1.0" encoding="utf-8"?>', f'<ncx xmlns="{NS["DAISY"]}" version="2005-1">']
     return "\n".join([
         *start, "<head>", _tag("meta", {"content": book["uid"] or "", "name": "dtb:uid"}), _tag("meta", {"content": "0", "name": "dtb:depth"}),
         _tag("meta", {"content": "0", "name": "dtb:totalPageCount"}), _tag("meta", {"content": "0", "name": "dtb:maxPageNumber"}), "</head>",
-        "<docTitle>", _tag("text", {}, book["title"]), "</docTitle>", "<navMap>", *points(_tree(book)), "</navMap>", "</ncx>",
+        "<docTitle>", _tag("text", {}, book["title"]), "</docTitle>", "<navMap>", *points, "</navMap>", "</ncx>",
     ]).encode()
 
 
@@ -253,82 +252,132 @@ def nested(corpus: Corpus) -> DataFrame:
     return out
 
 
+def _plain(r: dict) -> dict:
+    """A row of ``nested`` as ``build`` takes it."""
+    for t in TABLES:
+        if t != "books":
+            r[t] = r[t] or []
+    for i in r["items"]:
+        i["links"], i["metas"] = [dict(x) for x in i["links"] or ()], [dict(x) for x in i["metas"] or ()]
+    for b in r["bindings"]:
+        b["attrs"] = dict(b["attrs"] or {})
+    r["namespaces"], r["templates"] = dict(r["namespaces"] or {}), dict(r["templates"] or {})
+    return r
+
+
 def pack(corpus: Corpus, options: dict | None = None) -> DataFrame:
     """book, data: each book's container."""
-    lists = [t for t in TABLES if t != "books"]
-
-    def plain(r: dict) -> dict:
-        for t in lists:
-            r[t] = r[t] or []
-        for i in r["items"]:
-            i["links"], i["metas"] = [dict(x) for x in i["links"] or ()], [dict(x) for x in i["metas"] or ()]
-        for b in r["bindings"]:
-            b["attrs"] = dict(b["attrs"] or {})
-        r["namespaces"], r["templates"] = dict(r["namespaces"] or {}), dict(r["templates"] or {})
-        return r
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                r = plain(batch.slice(k, 1).to_pylist()[0])
+                r = _plain(batch.slice(k, 1).to_pylist()[0])
                 yield pa.RecordBatch.from_arrays([pa.array([r["book"]]), pa.array([build(r, options)], pa.binary())], names=["book", "data"])
 
     return nested(corpus).mapInArrow(run, "book string, data binary")
 
 
 def file_names(corpus: Corpus) -> DataFrame:
-    """book, file: where each book goes below a folder. Names keep their folders, but for those that all books share; two books that would be one file are an error."""
+    """book, file, refused: where each book goes below a folder, and why it can't. Names keep their folders, but for those that all books share; two books that would be one file, and one outside of the folder, are
+    refused."""
     name = F.concat(F.regexp_replace(F.regexp_replace(F.regexp_replace("book", "^[A-Za-z][A-Za-z0-9+.-]*:/*", ""), "^/+|/+$", ""), r"\.epub$", ""), F.lit(".epub"))
     books = corpus.books.where("error_code IS NULL").select("book", name.alias("file"))
     ends = books.agg(F.min("file").alias("a"), F.max("file").alias("b")).first()
     shared = os.path.commonprefix([ends["a"] or "", ends["b"] or ""]).rpartition("/")[0]
     books = books.withColumn("file", F.substr("file", F.lit(len(shared) + 2 if shared else 1)))
-    wrong = books.groupBy("file").agg(F.count("*").alias("n"), F.min("book").alias("book")).where(F.expr("n > 1 OR concat('/', file, '/') LIKE '%/../%'")).limit(5).collect()
-    if wrong:
-        raise ValueError("books can't be written under one name, or outside of the folder: " + ", ".join(f"{r['file']} ({r['n']} of {r['book']})" for r in wrong))
-    return books
+    twice = books.groupBy("file").agg(F.count("*").alias("n")).where("n > 1")
+    refused = F.when(F.concat(F.lit("/"), "file", F.lit("/")).contains("/../"), F.concat(F.col("file"), F.lit(" leads outside of the folder"))).when(F.col("n") > 1, F.concat("n", F.lit(" books would be "), "file", F.lit(": they can't be written under one name")))
+    return books.join(twice, "file", "left").select("book", "file", refused.alias("refused"))
 
 
-def write_corpus(corpus: Corpus, path: str, options: dict | None = None) -> int:
-    """Write every book of ``corpus`` below ``path`` (a URI that pyarrow opens on the executors); returns how many.
+WRITTEN = "book string, file string, bytes long, error_code int, error string"
 
-    A file is written under a name of its attempt and moved into place whole, so a task that runs again, or twice, leaves the same file.
-    """
-    packed = pack(corpus, options).join(file_names(corpus), "book").select("file", "data")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+def _moved(fs, tmp: str, to: str) -> None:
+    """A file of an attempt goes to its place; where an earlier try has moved it already, that stands."""
+    if not fs.get_file_info(tmp).is_file and fs.get_file_info(to).is_file:
+        return
+    fs.create_dir(posixpath.dirname(to), recursive=True)
+    try:
+        fs.move(tmp, to)
+    except OSError:  # some file systems don't move onto a file
+        fs.copy_file(tmp, to)
+        fs.delete_file(tmp)
 
-        from pyarrow import fs as pafs
 
-        fs, folder = pafs.FileSystem.from_uri(path)
-        done = 0
+def write_books(corpus: Corpus, path: str, options: dict | None = None) -> DataFrame:
+    """Write every book of ``corpus`` below ``path`` (a path, or a URI that pyarrow opens on the executors); a row of WRITTEN for each book says where it went, or what was wrong.
+
+    Each task writes into a folder of its attempt, and its rows, which name these files, are kept in the shared folder by Spark's own commit: those of lost and repeated attempts are never among them. Then
+    executors move the files that rows name into place, which may be repeated too, and the folder of attempts goes. So books appear whole and once, and no list of them comes to the driver.
+
+    With the option ``raise_exceptions`` (on, unless it is set to False) an error of any book ends the write before any book is put in place; without it such books are rows with their error, and the others are written.
+    """
+    from uuid import uuid4
+
+    o = dict(options or {})
+    strict = o.pop("raise_exceptions", True)
+    fs, folder, _ = file_system(path)
+    attempts = f"{folder}/_attempts-{uuid4().hex}"
+    books = corpus.books.join(file_names(corpus), "book")  # names meet the rows of books, not containers
+    work = WRITTEN + ", at string"
+    kind = _arrow(work)
+
+    def build_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _, _ = file_system(path)
+        own = f"{attempts}/{uuid4().hex}"
+        rows, n = [], 0
         for batch in batches:
-            for name, data in zip(batch.column(0), batch.column(1), strict=True):
-                to = f"{folder}/{name.as_py()}"
-                fs.create_dir(posixpath.dirname(to), recursive=True)
-                tmp = f"{to}.{uuid.uuid4().hex}.tmp"
-                with fs.open_output_stream(tmp) as f:
-                    f.write(data.as_buffer())
+            for k in range(batch.num_rows):
+                r = _plain(batch.slice(k, 1).to_pylist()[0])
+                book, file, refused = r["book"], r.pop("file"), r.pop("refused")
                 try:
-                    fs.move(tmp, to)
-                except OSError:  # some file systems don't move onto a file: an earlier attempt's is the same
-                    if not fs.get_file_info(to).size:
-                        raise
-                    fs.delete_file(tmp)
-                done += 1
-        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+                    if refused:
+                        raise ValueError(refused)
+                    data = build(r, o)
+                    fs.create_dir(own, recursive=True)
+                    with fs.open_output_stream(at := f"{own}/{n}") as f:
+                        f.write(data)
+                    rows.append((book, file, len(data), None, None, at))
+                except Exception as e:
+                    rows.append((book, file, None, -1, str(e) or type(e).__name__, None))
+                n += 1
+            yield _rows(rows, kind)
+            rows = []
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _, _ = file_system(path)
+        for batch in batches:
+            for file, at in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), strict=True):
+                if at:
+                    _moved(fs, at, f"{folder}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    return packed.mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+    try:
+        told = written(nested(replace(corpus, books=books)).mapInArrow(build_all, work), "books")
+        if strict and (wrong := told.where("error IS NOT NULL").select("book", "error").orderBy("book").limit(5).collect()):
+            raise ValueError("books can't be written: " + "; ".join(f"{r['book']}: {r['error']}" for r in wrong))
+        told.mapInArrow(place, "n long").agg(F.sum("n")).collect()
+    finally:
+        if fs.get_file_info(attempts).type == pafs.FileType.Directory:
+            fs.delete_dir(attempts)
+    return told.drop("at")
+
+
+def _rows(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(kind)], schema=kind)
+
+
+def write_corpus(corpus: Corpus, path: str, options: dict | None = None) -> int:
+    """``write_books``, returning how many were written."""
+    return write_books(corpus, path, options).where("error IS NULL").count()
 
 
 def unpack(packed: DataFrame, path: str) -> int:
     """Write containers (book, data) as folders of files below ``path``, as unpacked books are; returns how many files. Entries that lead out of their folder are an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as pafs
-
-        fs, folder = pafs.FileSystem.from_uri(path)
+        fs, folder, _ = file_system(path)
         done = 0
         for batch in batches:
             for book, data in zip(batch.column(0), batch.column(1), strict=True):
@@ -347,4 +396,4 @@ def unpack(packed: DataFrame, path: str) -> int:
     return packed.select("book", "data").mapInArrow(run, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
 
 
-__all__ = ["OPTIONS", "build", "entry_time", "file_names", "guide_entries", "markup", "modified", "navigation", "ncx", "nested", "pack", "package", "relative", "unpack", "write_corpus"]
+__all__ = ["OPTIONS", "build", "entry_time", "file_names", "guide_entries", "markup", "modified", "navigation", "ncx", "nested", "pack", "package", "relative", "unpack", "write_books", "write_corpus"]

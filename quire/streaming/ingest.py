@@ -22,12 +22,12 @@ def arriving(spark: SparkSession, folder: str, pattern: str = "*.epub", max_file
 
 
 def ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, tables: tuple[str, ...] = tuple(TABLES), available_now: bool = True) -> StreamingQuery:
-    """Append the tables of arriving containers below ``target``, one batch of files at a time."""
+    """Append the tables of arriving containers, and ``quarantine`` for those that can't be read, below ``target``, one batch of files at a time."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        parsed = parse_once(batch).tables()  # a file is read and opened once for all tables
-        for t in tables:
-            parsed[t].write.mode("overwrite").parquet(f"{target}/{t}/batch={epoch}")  # a batch that runs again replaces itself
+        parsed = parse_once(batch)  # a file is read and opened once for all tables
+        for t in (*tables, "quarantine"):
+            getattr(parsed, t).write.mode("overwrite").parquet(f"{target}/{t}/batch={epoch}")  # a batch that runs again replaces itself
 
     out = arriving(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out).start()

@@ -86,7 +86,7 @@ def test_all_options_on_and_off():
         opf, nav, ncx = (z.read(f"EPUB/{n}").decode() for n in ("content.opf", "nav.xhtml", "toc.ncx"))
     assert 'page-progression-direction="ltr"' in opf and 'dir="ltr"' in opf and "<guide>" in opf
     assert "My Guide" in nav and "My Pages" in nav and nav.count('epub:type="bodymatter"') == 1
-    assert on["page_list"][0][2:] == ("test.xhtml", "fn01", "note") or on["page_list"][0][3] == "fn01"
+    assert on["page_list"][0][2:] == ("test.xhtml", "fn01", "fn01")
     assert [f'playOrder="{n}"' in ncx for n in (1, 2, 3)] == [True] * 3
     off, data = rows_of(b, epub2_guide=False, epub3_landmark=False, epub3_pages=False, spine_direction=False)
     with zipfile.ZipFile(__import__("io").BytesIO(data)) as z:
@@ -100,7 +100,7 @@ def test_data_source_reads_and_writes(spark, tmp_path):
     packed.write.format("epub").mode("append").save(str(tmp_path / "out"))
     got = spark.read.format("epub").option("table", "spine").load(str(tmp_path / "out"))
     assert [r.idref for r in got.orderBy("pos").collect()] == ["nav", "chap_1", "chap_2"]
-    with zipfile.ZipFile(tmp_path / "out" / "basic.epub") as z:
+    with zipfile.ZipFile(next((tmp_path / "out").glob("part-*/basic.epub"))) as z:
         z.extractall(tmp_path / "folder" / "unpacked")
     assert spark.read.format("epub").option("content", "false").load(str(tmp_path / "folder")).where("content IS NOT NULL").count() == 0
     assert spark.read.format("epub").load(str(tmp_path / "folder")).count() == 7
@@ -266,7 +266,7 @@ def test_names_keep_their_folders(spark, tmp_path):
         writer.write_corpus(both("a/../../x", "b"), f"file://{tmp_path}/no", {"mtime": MTIME})
     reader.register(spark)
     writer.pack(two, {"mtime": MTIME}).write.format("epub").mode("append").save(str(tmp_path / "sink"))
-    assert sorted(p.relative_to(tmp_path / "sink").as_posix() for p in (tmp_path / "sink").rglob("*.epub")) == ["lib/a/x.epub", "lib/b/x.epub"]
+    assert sorted("/".join(p.relative_to(tmp_path / "sink").parts[1:]) for p in (tmp_path / "sink").rglob("*.epub")) == ["lib/a/x.epub", "lib/b/x.epub"]
 
 
 def test_saving_opens_each_container_once(spark, tmp_path):
