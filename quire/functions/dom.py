@@ -16,10 +16,12 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ENDED_BY = {
     "p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()),
     "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option", "optgroup")),
-    "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr")), "th": frozenset(("td", "th", "tr")),
+    "optgroup": frozenset(("optgroup",)), "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot")),
+    "thead": frozenset(("tbody", "tfoot")), "tbody": frozenset(("tbody", "tfoot")), "tfoot": frozenset(("tbody",)), "colgroup": frozenset(("colgroup", "thead", "tbody", "tfoot", "tr")), "caption": frozenset(("colgroup", "thead", "tbody", "tfoot", "tr")),
+    "rt": frozenset(("rt", "rp")), "rp": frozenset(("rt", "rp")),
 }
 #: Elements that an implied end doesn't look beyond.
-FENCES = frozenset("ol ul dl table body html nav div section".split())
+FENCES = frozenset("ol ul dl table select ruby body html nav div section".split())
 _NAME = re.compile(r"""[\s/]([^\s/>="']+)(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?""")
 
 
@@ -86,10 +88,9 @@ class _Builder(HTMLParser):
         cased = {n.lower(): n for n in _NAME.findall(raw[1 + len(tag) :])}
         for depth in range(len(self.stack) - 1, 0, -1):
             name = self.stack[depth].name
-            if tag in ENDED_BY.get(name, ()):
+            if tag in ENDED_BY.get(name, ()):  # and what that ends in turn: a row ends the last cell and the last row
                 del self.stack[depth:]
-                break
-            if name in FENCES:
+            elif name in FENCES:
                 break
         e = Element(tag, {cased.get(k, k): v if v is not None else "" for k, v in attrs})
         self.stack[-1].kids.append(e)

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -234,23 +235,30 @@ def tidy(content: bytes, **options: str) -> tuple[int, bytes]:
     return (done.returncode, done.stdout) if done.returncode < 2 else (done.returncode, content)
 
 
-def map_documents(items: DataFrame, change: Callable[[dict], dict], kinds: tuple[str, ...] = C.HTML_KINDS) -> DataFrame:
-    """``change`` over each document of ``items`` as a dict, giving the columns that it changes: what a per-document hook is here.
+def map_documents(items: DataFrame, *changes: Callable[[dict], dict], kinds: tuple[str, ...] = C.HTML_KINDS) -> DataFrame:
+    """``changes``, one after the other, over each document of ``items`` as a dict, giving the columns that each changes: what per-document hooks are here.
 
-    Other items pass by without Python; of documents, a run of bounded bytes is held at a time.
+    One pass over the items: other items go through as they are, in Arrow's form; of documents, a run of bounded bytes is held at a time.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(items.schema)
-    document_ = F.coalesce(F.col("kind").isin(*kinds), F.lit(False))
+    at, wanted = items.columns.index("kind"), pa.array(kinds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs(batch, "content"):
-                out = [r | change(r) for r in part.to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in schema], schema=schema)
-
-    return items.where(document_).mapInArrow(run, items.schema).unionByName(items.where(~document_))
+                docs = pc.is_in(part.column(at), value_set=wanted)
+                if (others := part.filter(pc.invert(docs))).num_rows:
+                    yield others.cast(schema)
+                out = part.filter(docs).to_pylist()
+                for k, row in enumerate(out):
+                    for change in changes:
+                        out[k] = row = row | change(row)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in out], f.type) for f in schema], schema=schema)
+
+    return items.mapInArrow(run, items.schema)
 
 
 def _with_props(row: dict, more: list[str]) -> list[str]:
