@@ -35,7 +35,7 @@ def shaped(df: DataFrame, schema: str, **columns) -> DataFrame:
 
 
 def corpus_of_pages(spark: SparkSession, sf_dir: str) -> Corpus:
-    """A book a language, of its pages; each host folder is a section."""
+    """Books of fifty pages of a language at most; each fifth of them is a section."""
     p = pages(spark, sf_dir).withColumn("name", F.concat(F.lit("p"), F.col("pos").cast("string"), F.lit(".xhtml")))
     b, n = F.col("book"), F.col("pos")
     title = F.coalesce(H.heading("html"), F.lit("untitled"))
@@ -140,10 +140,12 @@ def exact_syntax_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("book", "pos", F.regexp_extract(F.decode("content", "UTF-8"), "<body>(.*)</body>", 1).alias("body"), F.array_join("properties", " ").alias("properties"))
 
 
-@query("""SELECT conv_id::VARCHAR AS book, turn::INT AS doc_pos, n::INT AS n, 'k' || n AS fragment, CASE n WHEN 0 THEN 'own' WHEN 1 THEN 'aria' WHEN 2 THEN 'Head' ELSE 'k3' END AS label FROM conversations, (SELECT unnest([0, 1, 2, 3]) AS n)""")
+@query("""SELECT conv_id::VARCHAR AS book, turn::INT AS doc_pos, n::INT AS n, 'k' || n AS fragment, CASE n WHEN 0 THEN coalesce(nullif(trim(text, chr(9) || chr(10) || chr(13) || ' '), ''), 'k0') WHEN 1 THEN 'aria' WHEN 2 THEN 'Head ' || turn ELSE 'k3' END AS label
+FROM conversations, (SELECT unnest([0, 1, 2, 3]) AS n)""")
 def exact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page marks with every kind of label."""
-    html = F.lit('<body><div><span epub:type="pagebreak" id="k0"> own </span><i epub:type="pagebreak" id="k1" aria-label="aria"/><section epub:type="x" id="k2"><h3>Head</h3></section><b epub:type="y" id="k3"/><b epub:type="z"/></div></body>')
+    """Page marks with every kind of label: a turn's own text, an attribute, a heading, the id."""
+    text = H.escape(F.coalesce("text", F.lit("")))
+    html = F.concat(F.lit('<body><div><span epub:type="pagebreak" id="k0"> '), text, F.lit(' </span><i epub:type="pagebreak" id="k1" aria-label="aria"/><section epub:type="x" id="k2"><h3>Head '), F.col("turn").cast("string"), F.lit('</h3></section><b epub:type="y" id="k3"/><b epub:type="z"/></div></body>'))
     return D.pages_of(_turns(spark, sf_dir, html)).select("book", "doc_pos", "n", "fragment", "label")
 
 

@@ -19,10 +19,10 @@ def pick(values: tuple[str, ...], index) -> F.Column:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as items of the book of their source."""
+    """Documents as items of a book of their source, with a hundred of them at most."""
     d, i = read(spark, sf_dir, "documents"), F.col("doc_id")
     return d.select(
-        F.col("source").alias("book"), i.alias("pos"),
+        F.concat("source", F.lit("/"), F.expr("(doc_id div 100)").cast("string")).alias("book"), i.alias("pos"),
         F.when(i % 7 == 0, "nav").when(i % 7 == 1, "cover").when(i % 7 == 2, "ncx").when(i % 7 < 5, "html").otherwise("item").alias("kind"),
         F.when(i % 4 != 0, F.concat(F.lit("i"), (i % 50).cast("string"))).alias("id"),
         F.concat(F.lit("Text/file_"), i.cast("string"), pick(EXTS, i)).alias("file_name"),
@@ -33,7 +33,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ITEMS_SQL = f"""(SELECT source AS book, doc_id AS pos,
+ITEMS_SQL = f"""(SELECT source || '/' || (doc_id // 100) AS book, doc_id AS pos,
   CASE WHEN doc_id % 7 = 0 THEN 'nav' WHEN doc_id % 7 = 1 THEN 'cover' WHEN doc_id % 7 = 2 THEN 'ncx' WHEN doc_id % 7 < 5 THEN 'html' ELSE 'item' END AS kind,
   CASE WHEN doc_id % 4 <> 0 THEN 'i' || (doc_id % 50) END AS id,
   'Text/file_' || doc_id || {list(EXTS)}[doc_id % {len(EXTS)} + 1] AS file_name,
@@ -47,12 +47,12 @@ BOOK_OF_URL = "^https?://[^/]+/([^/]+)/"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Web pages as HTML items of the book of their language."""
+    """Web pages as HTML items of a book of their language, with fifty of them at most."""
     p = read(spark, sf_dir, "pages")
-    return p.select(F.regexp_extract("url", BOOK_OF_URL, 1).alias("book"), F.col("page_id").alias("pos"), "url", "html")
+    return p.select(F.concat(F.regexp_extract("url", BOOK_OF_URL, 1), F.lit("-"), F.expr("(page_id div 50)").cast("string")).alias("book"), F.col("page_id").alias("pos"), "url", "html")
 
 
-PAGES_SQL = f"(SELECT regexp_extract(url, '{BOOK_OF_URL}', 1) AS book, page_id AS pos, url, html FROM pages)"
+PAGES_SQL = f"(SELECT regexp_extract(url, '{BOOK_OF_URL}', 1) || '-' || (page_id // 50) AS book, page_id AS pos, url, html FROM pages)"
 
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
