@@ -27,7 +27,7 @@ from ..sources.writer import pack, unpack, write_corpus
 from ..workdir import new_path
 from .containers import _book, corpus_of_pages, query, shaped
 from .queries import _H1, ITEMS_SQL
-from .tables import PAGES_SQL, items, pages, read
+from .tables import PAGES_SQL, TREE_SQL, items, pages, read, tree
 
 MTIME = "2024-01-01T00:00:00+00:00"
 _ATTRS = lambda *kv: F.array(*[F.struct(F.lit(k).alias("k"), (v if isinstance(v, F.Column) else F.lit(v)).alias("v")) for k, v in kv])
@@ -305,3 +305,11 @@ def toc_deep_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = p.select("book", name(F.col("n")).alias("id"), F.when(F.col("n") > 1, name(F.col("n") - 1)).alias("parent"), F.lit(0).alias("ord"))
     out = N.walk(nodes).join(nodes.select("book", "id", "parent"), ["book", "id"])
     return out.select(F.col("book").cast("long").alias("page_id"), F.col("depth").cast("long").alias("depth"), F.coalesce("parent", F.lit("")).alias("parent"))
+
+
+@query("""SELECT book, uid, (row_number() OVER (PARTITION BY book ORDER BY path))::BIGINT AS number, depth FROM """ + TREE_SQL)
+def toc_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-order numbers and depths of trees given by parents, without paths."""
+    t = tree(spark, sf_dir)
+    nodes = t.select("book", F.col("uid").alias("id"), F.when(F.size("parent_path") > 0, F.concat(F.lit("n"), F.element_at("parent_path", -1).cast("string"))).alias("parent"), F.element_at("path", -1).alias("ord"))
+    return N.preorder(nodes).select("book", F.col("id").alias("uid"), "number", "depth")
