@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import items as I
 from ..workdir import written
 from .catalogue import BOOK, first_by, first_ids
@@ -93,6 +94,35 @@ def preorder(nodes: DataFrame, id_: str = "id", parent: str = "parent", order: s
     return met.select(BOOK, "id", known(F.col("total") - F.col("n") + 1).alias("number"), known((1 - F.col("level")).cast("int")).alias("depth"), error.alias("error"))
 
 
+def _level(number: str, step: int) -> Column:
+    """The depth of the node before or after in a book's order, 0 beyond its ends."""
+    return F.coalesce((F.lag if step < 0 else F.lead)("depth").over(Window.partitionBy(BOOK).orderBy(number)), F.lit(0))
+
+
+def _text(nodes: DataFrame, number: str, text: Column) -> DataFrame:
+    parts = F.array_sort(F.collect_list(F.struct(F.col(number).alias("n_"), text.alias("t_"))))
+    return nodes.groupBy(BOOK).agg(F.array_join(F.transform(parts, lambda x: x["t_"]), "").alias("text"))
+
+
+def ncx_text(nodes: DataFrame, number: str = "number") -> DataFrame:
+    """book and ``text``: the navigation points of an older navigation file, of nodes (book, number in pre-order, depth from 1, nav_id, title, src). A node's tags close by how much shallower the next one is, so trees
+    of any depth are text without a walk."""
+    n = nodes.withColumns({"after_": _level(number, 1)})
+    ends = F.repeat(F.lit("</navPoint>"), F.greatest(F.col("depth") - F.greatest("after_", F.lit(1)) + 1, F.lit(0)).cast("int"))
+    e = lambda c: H.escape(F.coalesce(F.col(c), F.lit("")))
+    return _text(n, number, F.concat(F.lit('<navPoint id="'), e("nav_id"), F.lit('"><navLabel><text>'), e("title"), F.lit('</text></navLabel><content src="'), e("src"), F.lit('"/>'), ends))
+
+
+def nav_text(nodes: DataFrame, number: str = "number") -> DataFrame:
+    """book and ``text``: the nested lists of a navigation document, of nodes (book, number in pre-order, depth from 1, title, href); a node without a link is a span."""
+    n = nodes.withColumns({"before_": _level(number, -1), "after_": _level(number, 1)})
+    e = lambda c: H.escape(F.coalesce(F.col(c), F.lit("")))
+    own = F.when(F.coalesce("href", F.lit("")) == "", F.concat(F.lit("<span>"), e("title"), F.lit("</span>"))).otherwise(F.concat(F.lit('<a href="'), e("href"), F.lit('">'), e("title"), F.lit("</a>")))
+    up = F.when(F.col("after_") > 0, F.greatest(F.col("depth") - F.col("after_"), F.lit(0))).otherwise(F.col("depth") - 1)
+    ends = F.when(F.col("after_") > F.col("depth"), "").otherwise(F.concat(F.lit("</li>"), F.repeat(F.lit("</ol></li>"), up.cast("int")), F.when(F.col("after_") == 0, "</ol>").otherwise("")))
+    return _text(n, number, F.concat(F.when(F.col("before_") < F.col("depth"), "<ol>").otherwise(""), F.lit("<li>"), own, ends))
+
+
 def spine_rows(spine: DataFrame, items: DataFrame) -> DataFrame:
     """Each reference with its item, and ``linear``: "no" if the item or the reference says so; a reference to nothing stays, as "yes"."""
     known = first_ids(items).select(BOOK, F.col("id").alias("idref"), F.col("is_linear"), F.col("file_name"), F.lit(True).alias("found"))

@@ -313,3 +313,19 @@ def toc_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tree(spark, sf_dir)
     nodes = t.select("book", F.col("uid").alias("id"), F.when(F.size("parent_path") > 0, F.concat(F.lit("n"), F.element_at("parent_path", -1).cast("string"))).alias("parent"), F.element_at("path", -1).alias("ord"))
     return N.preorder(nodes).select("book", F.col("id").alias("uid"), "number", "depth")
+
+
+@query(f"""WITH t AS (SELECT book, pos, CASE k WHEN 0 THEN '<li><a href="p' || pos || '.xhtml">&lt;' || pos || '&gt;</a><ol>' WHEN 1 THEN '<li><span>b</span><ol>' WHEN 2 THEN '<li><a href="c&amp;d">c</a></li></ol></li>' ELSE '<li><a href="e">e</a></li></ol></li>' END AS nav,
+CASE k WHEN 0 THEN '<navPoint id="i' || pos || '"><navLabel><text>&lt;' || pos || '&gt;</text></navLabel><content src="p' || pos || '.xhtml"/>' WHEN 1 THEN '<navPoint id=""><navLabel><text>b</text></navLabel><content src=""/>'
+WHEN 2 THEN '<navPoint id=""><navLabel><text>c</text></navLabel><content src="c&amp;d"/></navPoint></navPoint>' ELSE '<navPoint id=""><navLabel><text>e</text></navLabel><content src="e"/></navPoint></navPoint>' END AS ncx, k
+FROM {PAGES_SQL}, (SELECT unnest([0, 1, 2, 3]) AS k))
+SELECT book, md5('<ol>' || string_agg(nav, '' ORDER BY pos, k) || '</ol>') AS nav, md5(string_agg(ncx, '' ORDER BY pos, k)) AS ncx FROM t GROUP BY 1""")
+def tree_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trees as text of both kinds of navigation: four nodes on three levels for each page of a book."""
+    four = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).alias("depth"), F.lit(t).alias("t"), F.lit(h).alias("h")) for k, (d, t, h) in enumerate(((1, "", ""), (2, "b", ""), (3, "c", "c&d"), (2, "e", "e")))])
+    n = pages(spark, sf_dir).select("book", "pos", F.inline(four))
+    at = F.col("pos").cast("string")
+    top = lambda a, b: F.when(F.col("k") == 0, a).otherwise(b)
+    n = n.select("book", (F.col("pos") * 4 + F.col("k")).alias("number"), "depth", top(F.concat(F.lit("i"), at), F.lit(None)).alias("nav_id"), top(F.concat(F.lit("<"), at, F.lit(">")), F.col("t")).alias("title"), top(F.concat(F.lit("p"), at, F.lit(".xhtml")), F.col("h")).alias("href"))
+    both = N.nav_text(n).withColumnRenamed("text", "nav").join(N.ncx_text(n.withColumnRenamed("href", "src")).withColumnRenamed("text", "ncx"), "book")
+    return both.select("book", F.md5(F.col("nav").cast("binary")).alias("nav"), F.md5(F.col("ncx").cast("binary")).alias("ncx"))

@@ -201,7 +201,7 @@ def read_corpus(spark: SparkSession, path: str | list[str], ignore_ncx: bool = T
 
 
 class EpubDataSource(DataSource):
-    """``spark.read.format("epub")``; options: path, table (items; quarantine and entries too), ignore_ncx (true), content (true), mode (PERMISSIVE), corrupt (a column's name), and pushdown (false;
+    """``spark.read.format("epub")``, ``readStream`` and ``writeStream`` (``quire.sources.stream``); options: path, table (items; quarantine and entries too), ignore_ncx (true), content (true), mode (PERMISSIVE), corrupt (a column's name), and pushdown (false;
     books asked for by name alone are opened, where spark.sql.python.filterPushdown.enabled is set).
 
     Containers are opened by seeking: with content false a table reads a book's directory and the few entries that it is told by, not the container.
@@ -222,6 +222,16 @@ class EpubDataSource(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         return _Writer(dict(self.options), schema, overwrite)
 
+    def streamReader(self, schema: StructType):
+        from .stream import EpubStreamReader
+
+        return EpubStreamReader(dict(self.options), schema)
+
+    def streamWriter(self, schema: StructType, overwrite: bool):
+        from .stream import EpubStreamWriter
+
+        return EpubStreamWriter(dict(self.options), schema)
+
 
 @dataclass
 class _Books(InputPartition):

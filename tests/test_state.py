@@ -119,3 +119,74 @@ def test_table_function(spark, tmp_path):
     for wrong in ("SELECT * FROM read_books(TABLE(files_), 'nothing')", "SELECT * FROM read_books(TABLE(SELECT 1 AS x), 'toc')"):
         with pytest.raises(Exception, match="read_books reads"):
             spark.sql(wrong)
+
+
+def test_streams_of_books(spark, tmp_path):
+    """Books that arrive are read once, also over restarts, and as many at a time as asked for; batches write parts."""
+    import os
+
+    reader.register(spark)
+    data = bytes(writer.pack(corpus(spark, [book()]), {"mtime": MTIME}).first().data)
+    seen = []
+
+    def run(**options):
+        stream = spark.readStream.format("epub").options(table="books", path=str(tmp_path / "in"), **options).load()
+        query = stream.writeStream.foreachBatch(lambda df, n: seen.append((n, sorted(os.path.basename(r.book) for r in df.select("book").collect())))).option("checkpointLocation", str(tmp_path / "state"))
+        return query
+
+    def arrive(*names):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for k, n in enumerate(names):
+            (tmp_path / "in" / n).write_bytes(data if "bad" not in n else b"x")
+
+    arrive("a.epub", "b.epub", "bad.epub")
+    for _ in range(2):  # a restart reads nothing again
+        run().trigger(availableNow=True).start().awaitTermination(120)
+    assert [b for _, b in seen if b] == [["a.epub", "b.epub", "bad.epub"]]
+    arrive("c.epub", "note.txt")
+    run().trigger(availableNow=True).start().awaitTermination(120)
+    assert [b for _, b in seen if b][1:] == [["c.epub"]]
+    seen.clear()
+    fresh = run(max_books="2").option("checkpointLocation", str(tmp_path / "other")).start()
+    try:
+        fresh.processAllAvailable()
+        arrive("d.epub", "e.epub", "f.epub")
+        fresh.processAllAvailable()
+    finally:
+        fresh.stop()
+    sizes = [len(b) for _, b in seen if b]
+    assert sizes[0] == 4 and max(sizes[1:]) <= 2 and sum(sizes) == 7 and len({x for _, b in seen for x in b}) == 7
+    spark.createDataFrame([(f"k{n}", data) for n in range(3)], "book string, data binary").write.parquet(str(tmp_path / "packed"))
+    packed = spark.readStream.schema("book string, data binary").parquet(str(tmp_path / "packed"))
+    for _ in range(2):
+        packed.writeStream.format("epub").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "sink")).trigger(availableNow=True).start().awaitTermination(120)
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*.epub")) == ["k0.epub", "k1.epub", "k2.epub"] and not list((tmp_path / "out").glob("_*"))
+    assert spark.read.format("epub").option("table", "books").load(str(tmp_path / "out")).where("error IS NULL").count() == 3
+
+
+def test_deep_trees_as_text(spark):
+    """Text of a chain of ten thousand levels, and of a tree of many shapes, as a walk writes it."""
+    from quire.operators.navigation import nav_text, ncx_text
+
+    rng, rows = random.Random(6), [("chain", k, k + 1, f"i{k}", f"t{k}", "" if k % 3 else f"h{k}") for k in range(10_000)]
+    depth = 0
+    for k in range(500):
+        depth = rng.randrange(1, depth + 2)
+        rows.append(("shapes", k, depth, f"i{k}", "<&>", rng.choice(["", 'x"y'])))
+    df = spark.createDataFrame(rows, "book string, number long, depth int, nav_id string, title string, href string")
+    esc = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+    want_nav, want_ncx = {}, {}
+    for name in ("chain", "shapes"):
+        nav, ncx, open_ = [], [], 0
+        for _, _, d, i, t, h in (r for r in rows if r[0] == name):
+            if d > open_:
+                nav.append("<ol>")
+            else:
+                nav += ["</li>", *["</ol></li>"] * (open_ - d)]
+                ncx += ["</navPoint>"] * (open_ - d + 1)
+            open_ = d
+            nav.append(f'<li><a href="{esc(h)}">{esc(t)}</a>' if h else f"<li><span>{esc(t)}</span>")
+            ncx.append(f'<navPoint id="{i}"><navLabel><text>{esc(t)}</text></navLabel><content src="{esc(h)}"/>')
+        want_nav[name], want_ncx[name] = "".join([*nav, "</li>", *["</ol></li>"] * (open_ - 1), "</ol>"]), "".join([*ncx, *["</navPoint>"] * open_])
+    assert {r.book: r.text for r in nav_text(df).collect()} == want_nav
+    assert {r.book: r.text for r in ncx_text(df.withColumnRenamed("href", "src")).collect()} == want_ncx
