@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .dom import ENDED_BY, FENCES, VOID
 
-_INSIDE = r"""[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+"""
+INSIDE = r"""[^"'>]*+(?:(?:"[^"]*+"|'[^']*+')[^"'>]*+)*+"""
 #: Comments; declarations and instructions; scripts and styles with what they hold; tags; text; a mark that begins nothing.
-_MARKUP = rf"(?is)<!--.*?(?:-->|\z)|<(?:[!?]|/(?![a-z]))[^>]*+>|<(?:script|style)(?=[\s/>]){_INSIDE}(?<!/)>.*?(?=</(?:script|style)|\z)|</?[a-z]{_INSIDE}>|[^<]++|<"
-_TAG = rf"^<{_INSIDE}>"
+_MARKUP = rf"(?is)<!--.*?(?:-->|\z)|<(?:[!?]|/(?![a-z]))[^>]*+>|<(?:script|style)(?=[\s/>]){INSIDE}(?<!/)>.*?(?=</(?:script|style)|\z)|</?[a-z]{INSIDE}>|[^<]++|<"
+TAG = rf"^<{INSIDE}>"
 _ATTRIBUTE = r"""[\s/][^\s/>="']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>]*))?"""
 _ENDERS = sorted({n for ended in ENDED_BY.values() for n in ended})
 #: Tokens that one step of the outer fold takes; arrays grow by so many at a time.
@@ -77,12 +77,12 @@ def escape(text: Column, quotes: bool = False) -> Column:
     return out
 
 
-def _ends_itself(tag: Column) -> Column:
+def ends_itself(tag: Column) -> Column:
     """Whether a tag ends with a slash that isn't part of an unquoted value."""
     return tag.endswith("/>") & ~F.regexp_like(tag, F.lit(r"""=\s*[^\s"'>]+/>$"""))
 
 
-def _attributes(tag: Column) -> Column:
+def attributes(tag: Column) -> Column:
     """Names and values in order; of names that are given twice the first place has the last value."""
 
     def pair(piece: Column) -> Column:
@@ -91,7 +91,7 @@ def _attributes(tag: Column) -> Column:
         return F.struct(F.regexp_extract(piece, r"^[\s/]([^\s/>=\"']+)", 1).alias("k"), unescape(F.when(quoted, F.substr(value, F.lit(2), F.length(value) - 2)).otherwise(value)).alias("v"))
 
     inner = F.regexp_replace(F.regexp_replace(tag, "^<[A-Za-z][^\\s/>]*", ""), ">$", "")
-    inner = F.when(_ends_itself(tag), F.regexp_replace(inner, "/$", "")).otherwise(inner)
+    inner = F.when(ends_itself(tag), F.regexp_replace(inner, "/$", "")).otherwise(inner)
     found = F.transform(F.regexp_extract_all(inner, F.lit(_ATTRIBUTE), F.lit(0)), pair)
     return F.when(F.contains(tag, F.lit("=")) | F.regexp_like(tag, F.lit(r"\s")), found).otherwise(F.array().cast("array<struct<k:string,v:string>>"))
 
@@ -102,11 +102,11 @@ def tokens(text: Column) -> Column:
     def token(s: Column) -> Column:
         start, end = F.regexp_like(s, F.lit("^<[A-Za-z]")), F.regexp_like(s, F.lit("^</[A-Za-z]"))
         name = F.when(start | end, F.lower(F.regexp_extract(s, r"^</?([A-Za-z][^\s/>]*)", 1))).otherwise("")
-        tag = F.when(start, F.regexp_extract(s, _TAG, 0)).otherwise("")
+        tag = F.when(start, F.regexp_extract(s, TAG, 0)).otherwise("")
         return let(F.struct(name.alias("name"), tag.alias("tag"), start.alias("start"), end.alias("end")), lambda x: F.struct(
-            F.when(x["start"], F.when(_ends_itself(x["tag"]) | x["name"].isin(*sorted(VOID)), EMPTY).otherwise(START)).when(x["end"], END).otherwise(TEXT).alias("kind"),
+            F.when(x["start"], F.when(ends_itself(x["tag"]) | x["name"].isin(*sorted(VOID)), EMPTY).otherwise(START)).when(x["end"], END).otherwise(TEXT).alias("kind"),
             x["name"].alias("name"),
-            F.when(x["start"], _attributes(x["tag"])).otherwise(F.array().cast("array<struct<k:string,v:string>>")).alias("attrs"),
+            F.when(x["start"], attributes(x["tag"])).otherwise(F.array().cast("array<struct<k:string,v:string>>")).alias("attrs"),
             F.when(x["start"], F.substr(s, F.length(x["tag"]) + 1)).when(x["end"] | F.regexp_like(s, F.lit("^<[!?/]")), "").otherwise(unescape(s)).alias("text"),
             x["name"].isin(*sorted(FENCES)).alias("fence"),
             F.when(x["start"], cases(x["name"], {n: "," + ",".join(sorted(e)) + "," for n, e in ENDED_BY.items()}, "")).otherwise("").alias("ended"),
@@ -120,8 +120,8 @@ _STACK = "array<struct<id:int,name:string,fence:boolean,ended:string>>"
 _OUT = "array<struct<parent:int,depth:int,closed:array<struct<id:int,name:string>>>>"
 
 
-def _fold(ts: Column) -> Column:
-    """parent, depth and closed of each token."""
+def fold(ts: Column) -> Column:
+    """parent, depth and closed of each token, and of what is still open behind the last one."""
 
     def cut(stack: Column, t: Column) -> Column:
         """The place in the stack that this token ends open elements from."""
@@ -161,14 +161,15 @@ def _fold(ts: Column) -> Column:
 
 def nodes(text: Column) -> Column:
     """The tokens of a document with parent, depth and closed; the last one has no token of its own, but closes what is still open."""
-    none = F.array().cast("array<struct<k:string,v:string>>")
-    last = F.struct(F.lit(TEXT).alias("kind"), F.lit("").alias("name"), none.alias("attrs"), F.lit("").alias("text"))
+    return let(tokens(text), placed)
 
-    def zipped(ts: Column) -> Column:
-        own = F.concat(F.transform(ts, lambda t: F.struct(t["kind"].alias("kind"), t["name"].alias("name"), t["attrs"].alias("attrs"), t["text"].alias("text"))), F.array(last))
-        return F.zip_with(own, _fold(ts), lambda t, o: F.struct(*[t[c].alias(c) for c in ("kind", "name", "attrs", "text")], *[o[c].alias(c) for c in ("parent", "depth", "closed")]))
 
-    return let(tokens(text), zipped)
+def placed(ts: Column) -> Column:
+    """Tokens with what the fold tells of them."""
+    none = F.array().cast("array<struct<k:string,v:string>>")
+    last = F.struct(F.lit(TEXT).alias("kind"), F.lit("").alias("name"), none.alias("attrs"), F.lit("").alias("text"))
+    own = F.concat(F.transform(ts, lambda t: F.struct(t["kind"].alias("kind"), t["name"].alias("name"), t["attrs"].alias("attrs"), t["text"].alias("text"))), F.array(last))
+    return F.zip_with(own, fold(ts), lambda t, o: F.struct(*[t[c].alias(c) for c in ("kind", "name", "attrs", "text")], *[o[c].alias(c) for c in ("parent", "depth", "closed")]))
 
 
 def attribute(attrs: Column, name: str) -> Column:
@@ -176,7 +177,7 @@ def attribute(attrs: Column, name: str) -> Column:
     return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.transform(F.filter(attrs, lambda a: a["k"] == name), lambda a: a["v"])), -1)
 
 
-_SPAN = "array<struct<id:int,end:int,parent:int,depth:int,name:string,attrs:array<struct<k:string,v:string>>,lead:string>>"
+SPAN = "array<struct<id:int,end:int,parent:int,depth:int,name:string,attrs:array<struct<k:string,v:string>>,lead:string>>"
 
 
 def spans(ns: Column) -> Column:
@@ -198,7 +199,7 @@ def spans(ns: Column) -> Column:
             lead = F.when(s["n"]["kind"] == EMPTY, "").otherwise(F.concat(s["n"]["text"], F.array_join(F.transform(after, lambda x: x["text"]), "")))
             return F.struct(s["id"].alias("id"), end.alias("end"), *[s["n"][c].alias(c) for c in ("parent", "depth", "name", "attrs")], lead.alias("lead"))
 
-        return F.transform(starts, one).cast(_SPAN)
+        return F.transform(starts, one).cast(SPAN)
 
     # Each element has one end, so sorted by their elements ends stand beside them.
     return let(F.filter(F.transform(ns, begun), lambda x: x.isNotNull()), lambda starts: let(F.array_sort(ends), lambda e: joined(starts, e)))
@@ -254,7 +255,7 @@ def in_body(d: Column, place: Column) -> Column:
 def in_body_elements(d: Column) -> Column:
     """The body's elements, it first; none if it has none in it."""
     own = F.filter(d["e"], lambda e: in_body(d, e["id"]))
-    return F.when(F.size(own) > 0, F.when(d["body"].isNotNull(), F.concat(F.array(d["body"]), own)).otherwise(own)).otherwise(F.array().cast(_SPAN))
+    return F.when(F.size(own) > 0, F.when(d["body"].isNotNull(), F.concat(F.array(d["body"]), own)).otherwise(own)).otherwise(F.array().cast(SPAN))
 
 
 def heading(d: Column, e: Column) -> Column:

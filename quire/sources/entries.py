@@ -7,7 +7,6 @@ checks them. So images of a library are found, filtered and fetched without read
 from __future__ import annotations
 
 import os
-import posixpath
 import struct
 import zipfile
 import zlib
@@ -19,6 +18,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import normpath
 from .container import Archive, failed
 
 #: n counts entries in the order of the directory; a book whose directory can't be read has one row, without a name.
@@ -140,11 +140,9 @@ def read_entries(wanted: DataFrame) -> DataFrame:
 
 def with_content(items: DataFrame, books: DataFrame, index: DataFrame) -> DataFrame:
     """``items`` (read without contents, and filtered as a query needs) with the bytes of their entries, and ``error``; no other entry is read. An item without an entry keeps null, as ``Can not find`` says."""
-    normal = F.udf(posixpath.normpath, "string")
     folder = books.where("error_code IS NULL").select("book", "folder")
     at = F.when(F.coalesce("folder", F.lit("")) == "", F.col("file_name")).otherwise(F.concat_ws("/", "folder", "file_name"))
-    odd = F.regexp_like(at, F.lit(r"(^|/)\.{0,2}(/|$)"))
-    asked = items.drop("content").join(folder, "book").withColumn("name_", F.when(odd, normal(at)).otherwise(at)).drop("folder")
+    asked = items.drop("content").join(folder, "book").withColumn("name_", normpath(at)).drop("folder")
     rest = [c for c in asked.columns if c not in ("book", "name_")]
     asked = asked.select("book", F.col("name_").alias("name"), F.struct(*rest).alias("item_"))
     own = asked.join(index.drop("n").where("name IS NOT NULL"), ["book", "name"], "left")
