@@ -59,8 +59,14 @@ def curve_index(point: tuple[int, ...], bits: int) -> int:
     return out
 
 
+#: Bits of a cell at most.
+CURVE_BITS = 16
+
+
 def curve(bits: int, dimensions: int) -> list[tuple[int, int]]:
-    """(cell, place) of all cells; a cell is its coordinates' bits one after the other."""
+    """(cell, place) of all cells; a cell is its coordinates' bits one after the other. There may be 2 ** CURVE_BITS of them at most, as they are made on the driver and broadcast."""
+    if bits * dimensions > CURVE_BITS:
+        raise ValueError(f"{dimensions} dimensions of {bits} bits have more than 2 ** {CURVE_BITS} cells")
     mask = (1 << bits) - 1
     return [(c, curve_index(tuple(c >> bits * (dimensions - 1 - d) & mask for d in range(dimensions)), bits)) for c in range(1 << bits * dimensions)]
 

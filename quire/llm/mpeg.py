@@ -2,7 +2,7 @@
 
 ``write_stream`` stores bytes losslessly in a valid variable-bitrate Layer III stream: silent
 granules (all side information zero) leave each frame's main data free for ancillary bytes, the
-place where the format allows foreign data. ``parse`` reads any MPEG-1/2/2.5 stream: it skips and
+place where the format allows foreign data. ``parse`` reads MPEG-1/2/2.5 streams whose frames tell their bitrate (of free format, whose frames don't, it finds none): it skips and
 reads tags (ID3v2.2 to 2.4, ID3v1, APE), resynchronises on frame headers, reads Xing, Info and VBRI tables and holds their counts and seek
 points against the frames, verifies checksums (of all three layers' frames, and of Info tags) and gives exact durations and the offset of each frame.
 

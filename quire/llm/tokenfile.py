@@ -15,7 +15,7 @@ files of its own names; the manifest names those of the attempts that succeeded,
 What comes to the driver is one row a shard.
 
 Defined results: a null text is empty; a null key sorts first, is stored and scanned but never looked up; rows
-that repeat a key are stored one after the other, ordered by the text's first TIE_LENGTH characters and then as the input partitions are, and a lookup gives the first; a text of any length is one document (its ids are held at
+that repeat a key are stored one after the other, ordered by the text's first TIE_LENGTH characters and then by a hash of the whole text, so equal rows alone have no order, and a lookup gives the first; a text of any length is one document (its ids are held at
 once); an empty table gives no shard and no rows. Columns other than key and text are ignored, whatever their names.
 """
 
@@ -265,8 +265,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, sh
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(SHARD))
-    order = ("key", "head", "part")
-    src = docs.select(F.col(key).cast("long").alias("key"), F.substring(F.col(text), 1, TIE_LENGTH).alias("head"), F.spark_partition_id().alias("part"), F.col(text).alias("text"))
+    order = ("key", "head", "hash", "part")
+    src = docs.select(F.col(key).cast("long").alias("key"), F.substring(F.col(text), 1, TIE_LENGTH).alias("head"), F.xxhash64(F.col(text)).alias("hash"), F.spark_partition_id().alias("part"), F.col(text).alias("text"))
     made = src.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "text").mapInArrow(write, SHARD).collect()
     return [r.asDict() for r in sorted(made, key=lambda r: r.shard)]
 

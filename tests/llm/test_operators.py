@@ -505,6 +505,16 @@ def test_token_files(spark, docs, none, tmp_path):
         tokenfile.read_shards(spark, manifest).collect()
 
 
+def test_ties_go_by_the_whole_text(spark):
+    """Rows of one key with one beginning are stored in one order, however they are dealt."""
+    rows_ = [(1, "x" * 80 + f" tail {k}" * (k + 1)) for k in range(12)]
+    starts = []
+    for parts in (1, 5):
+        df = spark.createDataFrame(rows_[:: 1 if parts == 1 else -1], "doc_id long, text string").repartition(parts)
+        starts.append(sorted((r.start, r.n_tokens, r.ids_crc32) for r in tokenfile.token_shards(df, BPE).collect()))
+    assert starts[0] == starts[1] and len(starts[0]) == 12
+
+
 def test_shards_follow_bytes_and_rows(spark, none, monkeypatch):
     monkeypatch.setattr(tokenfile, "SHARD_BYTES", 1000)
     empty = spark.range(100).selectExpr("id AS doc_id", "CAST(NULL AS string) AS text")
@@ -537,6 +547,11 @@ def test_words_encode_as_whole_texts():
 # 5. Hilbert shards
 
 
+def test_hilbert_curves_are_bounded():
+    with pytest.raises(ValueError, match="cells"):
+        hilbert.curve(5, 5)
+
+
 def test_hilbert_curve_is_a_curve():
     for bits, dims in ((2, 2), (3, 3), (1, 4)):
         cells = {p: c for c, p in hilbert.curve(bits, dims)}
