@@ -354,6 +354,19 @@ def test_slow_tidy_leaves_content_alone(tmp_path, monkeypatch):
     assert D.tidy(b"<p>x") == (3, b"<p>x")
 
 
+def test_tidy_gives_what_the_program_says(tmp_path, monkeypatch):
+    """Its output where it ends with 0 or 1, the content where it fails; options are its arguments."""
+    (tmp_path / "tidy").write_text('#!/bin/sh\necho "$@"\ncat\nexit ${TIDY_ENDS:-0}\n')
+    (tmp_path / "tidy").chmod(0o755)
+    monkeypatch.setenv("PATH", f"{tmp_path}:{__import__('os').environ['PATH']}")
+    assert D.tidy(b"<p>x", char_encoding="utf8") == (0, b"--char-encoding utf8\n<p>x")
+    assert D.tidy_hook({"content": b"<p>x"}) == {"content": b"--char-encoding utf8 --tidy-mark no\n<p>x"} and D.tidy_hook({"content": None})["content"].endswith(b"no\n")
+    for ends, want in (("1", (1, b"\n<p>x")), ("2", (2, b"<p>x"))):
+        monkeypatch.setenv("TIDY_ENDS", ends)
+        assert D.tidy(b"<p>x") == want
+    assert hooks.Tidy.document_after_read is D.tidy_hook is hooks.Tidy.document_before_write
+
+
 def test_arrivals_by_window(spark, tmp_path):
     from quire.streaming.ingest import arrivals_by_window, arriving
 
