@@ -3,6 +3,8 @@
 Where a tokenizer drops white space and never joins over it, a text's ids are those of its words in
 turn, so each distinct word is encoded once a worker and texts are put together from a table. Other
 tokenizers encode whole texts. Equality with the library on whole texts is tested.
+
+Defined results: a null text is an empty one, and has no ids; a text of any length is encoded whole; texts that repeat give the same ids; no texts give no ids and one place.
 """
 
 from __future__ import annotations
