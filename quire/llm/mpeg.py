@@ -2,7 +2,7 @@
 
 ``write_stream`` stores bytes losslessly in a valid variable-bitrate Layer III stream: silent
 granules (all side information zero) leave each frame's main data free for ancillary bytes, the
-place where the format allows foreign data. ``parse`` reads MPEG-1/2/2.5 streams whose frames tell their bitrate (of free format, whose frames don't, it finds none): it skips and
+place where the format allows foreign data. ``parse`` reads any MPEG-1/2/2.5 stream, of free format too, whose frames' size is told by the distance of two headers: it skips and
 reads tags (ID3v2.2 to 2.4, ID3v1, APE), resynchronises on frame headers, reads Xing, Info and VBRI tables and holds their counts and seek
 points against the frames, verifies checksums (of all three layers' frames, and of Info tags) and gives exact durations and the offset of each frame.
 
@@ -72,19 +72,44 @@ def crc16_reflected(data: bytes) -> int:
     return c
 
 
-def header(data: bytes, at: int) -> dict | None:
-    """The frame header at ``at``, or None where there is no valid one."""
+#: Bytes of a frame of free format at most: one of the highest bitrate that decoders need take, 640 kbps, at the lowest rate, and some room.
+FREE_BYTES = 8192
+
+
+def free_size(data: bytes, at: int, end: int) -> int | None:
+    """Bytes of the frames of a stream of free format without padding, told by the distance of a header at ``at`` from the next one like it, which must lead to a third or to the end."""
+    if at + 4 > len(data) or data[at] != 0xFF or data[at + 2] >> 4 != 0 or not header(data, at, 64):
+        return None
+    alike = lambda p: p + 4 <= end and data[p] == 0xFF and data[p + 1] == data[at + 1] and data[p + 2] & 0xFD == data[at + 2] & 0xFD
+    step = 4 if 4 - (data[at + 1] >> 1 & 3) == 1 else 1
+    pad = lambda p: step * (data[p + 2] >> 1 & 1)
+    p = data.find(b"\xff", at + 24, min(end, at + FREE_BYTES))
+    while p >= 0:
+        if alike(p):
+            size = p - at - pad(at)
+            after = p + size + pad(p)
+            if after == end or alike(after):
+                return size
+        p = data.find(b"\xff", p + 1, min(end, at + FREE_BYTES))
+    return None
+
+
+def header(data: bytes, at: int, free: int | None = None) -> dict | None:
+    """The frame header at ``at``, or None where there is no valid one; one that doesn't tell its bitrate is valid if ``free``, the bytes of such frames, is known."""
     if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
         return None
     b1, b2, b3 = data[at + 1], data[at + 2], data[at + 3]
     version, layer = VERSIONS.get(b1 >> 3 & 3), 4 - (b1 >> 1 & 3)
     index, rate = b2 >> 4, b2 >> 2 & 3
-    if version is None or layer == 4 or index in (0, 15) or rate == 3 or b3 & 3 == 2:
+    if version is None or layer == 4 or index == 15 or index == 0 and not free or rate == 3 or b3 & 3 == 2:
         return None
-    kbps = BITRATES[1 if version == 10 else 2, layer][index]
     hz, pad, channels = RATES[version][rate], b2 >> 1 & 1, 1 if b3 >> 6 == 3 else 2
     samples = 384 if layer == 1 else 576 if layer == 3 and version != 10 else 1152
-    size = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples * 125 * kbps // hz + pad
+    if index:
+        kbps = BITRATES[1 if version == 10 else 2, layer][index]
+        size = (12000 * kbps // hz + pad) * 4 if layer == 1 else samples * 125 * kbps // hz + pad
+    else:
+        kbps, size = round(free * hz / (samples * 125)), free + pad * (4 if layer == 1 else 1)
     return {
         "at": at, "version": version, "layer": layer, "kbps": kbps, "hz": hz, "channels": channels,
         "samples": samples, "size": size, "crc": not b1 & 1, "joint": b3 >> 6 == 1, "ext": b3 >> 4 & 3,
@@ -263,15 +288,16 @@ def parse(data: bytes) -> dict:
     tags |= more
     frames: list[dict] = []
     resyncs = skipped = 0
-    locked = False
+    locked, free = False, None
     while pos < end:
-        h = header(data, pos)
+        free = free or free_size(data, pos, end)
+        h = header(data, pos, free)
         if h and (first := frames[0] if frames else None):
             h = h if all(h[k] == first[k] for k in ("version", "layer", "hz")) else None
         if h and pos + h["size"] > end:
             h = None  # a frame cut short is no frame
         if h and not locked and pos + h["size"] < end:
-            nxt = header(data, pos + h["size"])
+            nxt = header(data, pos + h["size"], free)
             if not nxt or any(nxt[k] != h[k] for k in ("version", "layer", "hz")):
                 h = None
         if h:

@@ -90,6 +90,21 @@ def test_mpeg_headers_of_other_kinds(head, size, samples):
     assert (h["size"], h["samples"]) == (size, samples)
 
 
+@pytest.mark.parametrize(("head", "size", "step", "samples", "hz"), [(b"\xff\xfb\x00\x00", 500, 1, 1152, 44100), (b"\xff\xfd\x04\xc0", 1000, 1, 1152, 48000), (b"\xff\xff\x08\x00", 400, 4, 384, 32000), (b"\xff\xf3\x00\x40", 300, 1, 576, 22050)])
+def test_mpeg_free_format(head, size, step, samples, hz):
+    """Frames that don't tell their bitrate, with and without padding, behind junk, and cut off."""
+    rng = random.Random(8)
+    pads = [rng.random() < 0.5 for _ in range(20)]
+    frame = lambda pad: (head[:2] + bytes([head[2] | 2 * pad]) + head[3:]).ljust(size + pad * step, b"\x00")
+    stream = b"".join(map(frame, pads))
+    for before in (b"", b"junk\xff\xe0" * 3):
+        got = mpeg.parse(before + stream)
+        starts = [len(before) + sum(size + p * step for p in pads[:k]) for k in range(20)]
+        assert got["frame_offsets"] == starts and got["n_samples"] == 20 * samples and got["sample_rate"] == hz and got["duration_us"] == 20 * samples * 1_000_000 // hz
+        assert got["min_kbps"] == round(size * hz / (samples * 125)) and got["skipped_bytes"] == len(before)
+    assert mpeg.parse(stream[:-1])["n_frames"] == 19 and mpeg.parse(frame(True))["n_frames"] == 0
+
+
 def test_mpeg_tags():
     frame = b"\xff\xfb\x90\x00".ljust(417, b"\0")
     vbri = frame[:36] + b"VBRI" + b"\0\1\0\0\0\0" + struct.pack(">II", 3 * 417, 2) + frame[54:]
