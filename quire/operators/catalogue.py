@@ -151,15 +151,31 @@ def add_meta(items: DataFrame, where: Column, meta: dict[str, str]) -> DataFrame
     return items.withColumn("metas", F.when(where, F.concat(F.coalesce("metas", F.array().cast("array<map<string,string>>")), new)).otherwise(F.col("metas")))
 
 
+#: What one task takes of the documents of one id: bytes of their links, written out for each of them, and rows.
+LINK_BYTES, LINK_ROWS = 64 << 20, 100_000
+
+
 def attach(documents: DataFrame, attached: DataFrame) -> DataFrame:
-    """Links of documents to attached items (book, document id, item file_name and item_type): styles become stylesheet links, scripts script links, others nothing."""
+    """Links of documents (book, pos, id) to attached items (book, document id, item file_name and item_type): styles become stylesheet links, scripts script links, others nothing.
+
+    Each document of an id gets all links of the id, so rows of a few bytes can become large. Ids whose documents and links are many are dealt to several tasks, each with a copy of the links. Those ids
+    alone are broadcast, one for each ``LINK_BYTES`` that are written or ``LINK_ROWS`` documents at most; partitions aren't merged by the bytes that they read.
+    """
     link = F.when(F.col("item_type") == C.STYLE, F.struct(F.lit("stylesheet").alias("rel"), F.lit("text/css").alias("type"))).when(F.col("item_type") == C.SCRIPT, F.struct(F.lit(None).cast("string").alias("rel"), F.lit("text/javascript").alias("type")))
     own = attached.withColumn("l", link).where("l IS NOT NULL")
     per = own.groupBy(BOOK, "id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "file_name", "l"))), lambda x: F.concat_ws("|", F.coalesce(x["l"]["rel"], F.lit("")), x["file_name"], x["l"]["type"])).alias("links"),
         F.max((F.col("item_type") == C.SCRIPT).cast("int")).alias("scripted"),
     )
-    return documents.join(per, [BOOK, "id"], "left")
+    keyed = F.col(BOOK).isNotNull() & F.col("id").isNotNull()
+    sizes = own.groupBy(BOOK, "id").agg(F.sum(F.octet_length("file_name") + 30).alias("size_"))
+    rows = documents.where(keyed).groupBy(BOOK, "id").agg(F.count("*").alias("rows_")).join(sizes, [BOOK, "id"], "left")
+    parts = rows.select(BOOK, "id", F.greatest(F.ceil(F.col("rows_") * F.coalesce("size_", F.lit(0)) / LINK_BYTES), F.ceil(F.col("rows_") / LINK_ROWS)).alias("parts_")).where("parts_ > 1")
+    n, hashed = F.coalesce("parts_", F.lit(1).cast("long")), F.xxhash64("pos")
+    dealt = documents.join(F.broadcast(parts), [BOOK, "id"], "left").withColumn("part_", F.when(keyed, F.pmod(hashed, n)).otherwise(hashed)).drop("parts_")
+    copies = per.join(F.broadcast(parts), [BOOK, "id"], "left").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).drop("parts_")
+    tasks = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, BOOK, "id", "part_").join(copies, [BOOK, "id", "part_"], "left").drop("part_")
 
 
 def set_value(items: DataFrame, where: Column, column: str, value: str | bool | None) -> DataFrame:

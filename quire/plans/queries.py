@@ -12,7 +12,7 @@ from ..functions import paths as P
 from ..operators import catalogue as K
 from ..operators import documents as D
 from ..operators import navigation as N
-from .tables import ITEMS_SQL, PAGES_SQL, TREE_SQL, items, pages, read, tree
+from .tables import ITEMS_SQL, PAGES_SQL, SOURCE_ITEMS_SQL, TREE_SQL, items, pages, read, tree
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -340,10 +340,11 @@ def document_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.document_languages(src, books).select("book", "pos", "lang")
 
 
-@query(f"""WITH a AS (SELECT book, id, string_agg(CASE WHEN t = 2 THEN 'stylesheet|' || file_name || '|text/css' ELSE '|' || file_name || '|text/javascript' END, ';' ORDER BY pos) AS links, max(CASE WHEN t = 3 THEN 1 ELSE 0 END) AS scripted FROM (SELECT *, {TYPE} AS t FROM {ITEMS_SQL} WHERE kind = 'item') WHERE t IN (2, 3) AND id IS NOT NULL GROUP BY 1, 2)
-SELECT d.book, d.pos, a.links, a.scripted::INT AS scripted FROM {ITEMS_SQL} d LEFT JOIN a ON d.book = a.book AND d.id = a.id WHERE d.kind = 'html'""")
+@query(f"""WITH a AS (SELECT book, id, string_agg(CASE WHEN t = 2 THEN 'stylesheet|' || file_name || '|text/css' ELSE '|' || file_name || '|text/javascript' END, ';' ORDER BY pos) AS links, max(CASE WHEN t = 3 THEN 1 ELSE 0 END) AS scripted FROM (SELECT *, {TYPE} AS t FROM {SOURCE_ITEMS_SQL} WHERE kind = 'item') WHERE t IN (2, 3) AND id IS NOT NULL GROUP BY 1, 2)
+SELECT d.book, d.pos, a.links, a.scripted::INT AS scripted FROM {SOURCE_ITEMS_SQL} d LEFT JOIN a ON d.book = a.book AND d.id = a.id WHERE d.kind = 'html'""")
 def script_property(spark: SparkSession, sf_dir: str) -> DataFrame:
-    src = K.with_type(items(spark, sf_dir))
+    """Every document with the links of all styles and scripts in its source that have its id."""
+    src = K.with_type(items(spark, sf_dir, by_source=True))
     attached = src.where("kind = 'item' AND id IS NOT NULL").select("book", "id", "file_name", "item_type", F.col("pos").alias("seq"))
     out = K.attach(src.where("kind = 'html'").select("book", "pos", "id"), attached)
     return out.select("book", "pos", F.array_join("links", ";").alias("links"), "scripted")
